@@ -225,3 +225,56 @@ def flat_knn(queries: DataFrame, corpus: DataFrame, k: int, *, q_id: str = "quer
         cands = cands.unionByName(p)
     return rank_window(cands, k, q_id, c_id).select(
         q_id, "rank", c_id, F.round("score", ROUND).alias("score"))
+
+
+# ------------------------------------------------------------ bucketed kNN
+# IVF cells and LSH band buckets share one kernel: the corpus is grouped by
+# bucket, each query is sent to the buckets it probes, and a cogroup scores
+# every (bucket, salt) group with numpy. A hot bucket -- up to a third of
+# the corpus -- is split into ``ceil(size / MAX_GROUP_ROWS)`` salted groups
+# and its probes are replicated per salt, so no group exceeds the budget.
+MAX_GROUP_ROWS = 50_000
+
+
+def _group_topk(key, corpus_pdf, probe_pdf, k, q_id, c_id, kind, dim):
+    if len(corpus_pdf) == 0 or len(probe_pdf) == 0:
+        return merge_topk([], q_id, c_id, k)
+    probe_pdf = probe_pdf.drop_duplicates(q_id)
+    qb = QueryBlock.from_pandas(probe_pdf, q_id, kind, dim)
+    return block_topk(qb, corpus_pdf, c_id, kind, k, q_id)
+
+
+def salted(corpus_b: DataFrame, probes: DataFrame, c_id: str,
+           max_group_rows: int = MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Add ``salt`` to corpus rows and replicate probes over the salts of
+    their bucket. Bucket sizes come from one aggregate; the size table has
+    one row per bucket, so it is broadcast under a parameter bound."""
+    sizes = (corpus_b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+             .select("bucket", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(max_group_rows)))
+                     .cast("int").alias("nsalt")))
+    sizes = F.broadcast(sizes)
+    c = (corpus_b.join(sizes, "bucket")
+         .withColumn("salt", F.pmod(F.xxhash64(F.col(c_id)), F.col("nsalt")).cast("int"))
+         .drop("nsalt"))
+    p = (probes.join(sizes, "bucket")
+         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)))
+         .drop("nsalt"))
+    return c, p
+
+
+def bucketed_knn(corpus_b: DataFrame, probes: DataFrame, k: int, *, q_id: str, c_id: str,
+                 kind: str, dim: int, c_type: str = "string",
+                 max_group_rows: int = MAX_GROUP_ROWS, dedupe: bool = False) -> DataFrame:
+    """corpus_b (bucket, c_id, vectors...), probes (bucket, q_id, vectors...)
+    -> (q_id, rank, c_id, score): exact top-k among the probed buckets."""
+    vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
+    c, p = salted(corpus_b.select("bucket", c_id, *vec_cols),
+                  probes.select("bucket", q_id, *vec_cols), c_id, max_group_rows)
+    schema = f"{q_id} long, {c_id} {c_type}, score double"
+    cands = (c.groupBy("bucket", "salt").cogroup(p.groupBy("bucket", "salt"))
+             .applyInPandas(partial(_group_topk, k=k, q_id=q_id, c_id=c_id, kind=kind, dim=dim),
+                            schema))
+    if dedupe:   # a corpus row reached through several buckets (LSH bands)
+        cands = cands.dropDuplicates([q_id, c_id])
+    return rank_window(cands, k, q_id, c_id).select(
+        q_id, "rank", c_id, F.round("score", ROUND).alias("score"))

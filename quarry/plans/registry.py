@@ -15,6 +15,8 @@ from quarry.functions.vectors import l2_normalize
 from quarry.operators import encode as enc
 from quarry.operators import metrics as M
 from quarry.operators import prepare as P
+from quarry.operators import ivf, lsh
+from quarry.operators import rerank as rr
 from quarry.operators.knn import flat_knn
 from quarry.plans import search as S
 from quarry.sources import tables
@@ -115,6 +117,99 @@ def q_eval_metrics(spark, d):
     return M.evaluate(preds, P.relevant_set(test), tq)
 
 
+def _ivf_fixed(spark, d):
+    q, c = _vectors(spark, d)
+    cent = ivf.fixed_centroids(c, "label", "vec_id")
+    index = ivf.assign(c.select("vec_id", "vec"), cent, "vec_id", "dense", 64)
+    return q.select(F.col("vec_id").alias("query_vec_id"), "vec"), \
+        index.withColumnRenamed("vec_id", "cand_id"), cent
+
+
+def q_ivf_assign(spark, d):
+    _, index, _ = _ivf_fixed(spark, d)
+    return index.select("cand_id", F.col("bucket").alias("cell"))
+
+
+def _ivf_search(spark, d, nprobe, k=K):
+    q, index, cent = _ivf_fixed(spark, d)
+    return ivf.search(q, index, cent, k, q_id="query_vec_id", c_id="cand_id", kind="dense",
+                      dim=64, nprobe=nprobe, c_type="long")
+
+
+def q_knn_ivf(spark, d):
+    return _ivf_search(spark, d, None)          # default rule: min(32, 10 // 4) = 2
+
+
+def q_knn_ivf_all_cells(spark, d):
+    return _ivf_search(spark, d, 10)
+
+
+def q_ivf_short_lists(spark, d):
+    r = _ivf_search(spark, d, 1, k=50)
+    return r.groupBy("query_vec_id").agg(F.count(F.lit(1)).alias("n_results"))
+
+
+def q_ivf_train(spark, d):
+    """A2/P3 on the product text vectors: k-means cells, rows-only check."""
+    idx = _index(spark, d)
+    cent = ivf.train(idx.vectors, "product_id", "sparse", DIM, nlist=ivf.NLIST)
+    index = ivf.assign(idx.vectors, cent, "product_id", "sparse", DIM)
+    sizes = ivf.cell_sizes(index)
+    return cent.select("cell", F.round(F.sqrt(F.aggregate(
+        "vec", F.lit(0.0).cast("double"), lambda a, x: a + x * x)), 6).alias("norm")) \
+        .join(sizes, "cell", "left").select("cell", "norm", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def q_knn_lsh(spark, d):
+    q, c = _vectors(spark, d)
+    return lsh.search(q.select(F.col("vec_id").alias("query_vec_id"), "vec"),
+                      c.select(F.col("vec_id").alias("cand_id"), "vec"), K,
+                      q_id="query_vec_id", c_id="cand_id", kind="dense", dim=64,
+                      bands=8, rows=4, c_type="long")
+
+
+def q_l2_normalize(spark, d):
+    e = tables.table(spark, d, "embeddings").select("vec_id", l2_normalize("embedding").alias("v"))
+    return e.select("vec_id", F.posexplode("v").alias("j", "x")) \
+            .select("vec_id", "j", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+def _search_inputs(spark, d, strategy="basic"):
+    test = _test(spark, d)
+    return test, P.test_queries(test), _index(spark, d, strategy)
+
+
+def q_candidate_texts(spark, d):
+    _, tq, idx = _search_inputs(spark, d)
+    return S.candidate_texts(S.retrieve_candidates(tq, idx), idx.texts)
+
+
+def q_bm25_pairs(spark, d):
+    _, tq, idx = _search_inputs(spark, d)
+    return S.bm25_candidates(tq, idx).select(
+        "query_id", "retrieval_rank", "product_id", F.round("score", 6).alias("score"))
+
+
+def q_rerank_topk(spark, d):
+    _, tq, idx = _search_inputs(spark, d)
+    scored = S.bm25_candidates(tq, idx)
+    return rr.rerank_topk(scored, K).select("query_id", "rank", "retrieval_rank", "product_id",
+                                            F.round("score", 6).alias("score"))
+
+
+def q_search_reranked(spark, d):
+    _, tq, idx = _search_inputs(spark, d)
+    return S.search_reranked(tq, idx, K)
+
+
+def q_search_scored(spark, d):
+    """Top 5 after rerank with score and an 80-character preview."""
+    _, tq, idx = _search_inputs(spark, d)
+    r = S.search_reranked(tq, idx, 5)
+    return S.candidate_texts(r, idx.texts).select(
+        "query_id", "rank", "product_id", "score", TX.preview("text", 80).alias("preview"))
+
+
 QUERIES = {
     "scan_judgments": q_scan_judgments,
     "scan_catalog": q_scan_catalog,
@@ -127,6 +222,18 @@ QUERIES = {
     "knn_flat": q_knn_flat,
     "search_flat": q_search_flat,
     "eval_metrics": q_eval_metrics,
+    "ivf_assign": q_ivf_assign,
+    "knn_ivf": q_knn_ivf,
+    "knn_ivf_all_cells": q_knn_ivf_all_cells,
+    "ivf_short_lists": q_ivf_short_lists,
+    "ivf_train": q_ivf_train,
+    "knn_lsh": q_knn_lsh,
+    "l2_normalize": q_l2_normalize,
+    "candidate_texts": q_candidate_texts,
+    "bm25_pairs": q_bm25_pairs,
+    "rerank_topk": q_rerank_topk,
+    "search_reranked": q_search_reranked,
+    "search_scored": q_search_scored,
 }
 
 
@@ -147,15 +254,76 @@ def _oracle() -> dict[str, str]:
     idx_names = ["uniq", "texts_basic", "pv_terms", "pv_n", "pv_idf", "pv_w", "pv_vec"]
     srch = test + idx_names + ["tq", "qv_terms", "qv_w", "qv_vec", "preds_dot", "preds_all", "preds"]
 
+    dotf = ("list_sum(list_transform(list_zip({a}, {b}), "
+            "lambda p: p[1]::DOUBLE * p[2]::DOUBLE))")
     vec = {
-        "ev": ("select vec_id, list_transform(embedding, lambda x: (case when n > 0 then x::DOUBLE / n "
-               "else x::DOUBLE end)::FLOAT) vec from (select *, sqrt(list_sum(list_transform("
-               "embedding, lambda x: x::DOUBLE * x::DOUBLE))) n from embeddings)"),
+        "ev": ("select vec_id, label, list_transform(embedding, lambda x: (case when n > 0 "
+               "then x::DOUBLE / n else x::DOUBLE end)::FLOAT) vec from (select *, "
+               "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) n "
+               "from embeddings)"),
         "evq": "select vec_id query_vec_id, vec from ev where vec_id < 50",
-        "evc": "select vec_id cand_id, vec from ev where vec_id >= 50",
-        "evs": ("select query_vec_id, cand_id, list_sum(list_transform(list_zip(q.vec, c.vec), "
-                "lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) score from evq q cross join evc c"),
+        "evc": "select vec_id cand_id, label, vec from ev where vec_id >= 50",
+        "evs": ("select query_vec_id, cand_id, " + dotf.format(a="q.vec", b="c.vec") +
+                " score from evq q cross join evc c"),
+    }
+    topk = ("select {q}, rank, {c}, round(score, 6) score from (select *, row_number() over "
+            "(partition by {q} order by round(score, 6) desc, {c}) rank from {src}) "
+            "where rank <= {k}")
+    ivf_f = {
+        "cent": "select label cell, arg_min(vec, cand_id) vec from evc group by label",
+        "asg": ("select cand_id, cell from (select c.cand_id, t.cell, row_number() over "
+                "(partition by c.cand_id order by round(" + dotf.format(a="c.vec", b="t.vec") +
+                ", 6) desc, t.cell) r from evc c cross join cent t) where r = 1"),
+    }
+    for n in (1, 2, 10):
+        ivf_f[f"prb{n}"] = ("select query_vec_id, cell from (select q.query_vec_id, t.cell, "
+                            "row_number() over (partition by q.query_vec_id order by round(" +
+                            dotf.format(a="q.vec", b="t.vec") + ", 6) desc, t.cell) r "
+                            f"from evq q cross join cent t) where r <= {n}")
+        ivf_f[f"ivf{n}"] = (f"select p.query_vec_id, a.cand_id, s.score from prb{n} p "
+                            "join asg a on a.cell = p.cell join evs s on "
+                            "s.query_vec_id = p.query_vec_id and s.cand_id = a.cand_id")
+    ivf_base = list(vec) + ["cent", "asg"]
+    lsh_f = {
+        "pl": ("select p, j, case when ('0x' || substr(md5(p::VARCHAR || '-' || j::VARCHAR), "
+               "1, 1))::INTEGER % 2 = 0 then 1e0 else -1e0 end s from range(32) a(p), "
+               "range(64) b(j)"),
+        "evx": "select vec_id, unnest(vec) x, unnest(range(len(vec))) j from ev",
+        "prj": "select vec_id, p, sum(x::DOUBLE * s) v from evx join pl using (j) group by all",
+        "bk": ("select vec_id, (p // 4) * 16 + sum(case when v >= 0 then (1 << (p % 4)) else 0 "
+               "end) bucket from prj group by vec_id, p // 4"),
+        "lc": ("select distinct q.vec_id query_vec_id, c.vec_id cand_id from bk q join bk c "
+               "on q.bucket = c.bucket where q.vec_id < 50 and c.vec_id >= 50"),
+        "ls": ("select s.* from lc join evs s on s.query_vec_id = lc.query_vec_id "
+               "and s.cand_id = lc.cand_id"),
+    }
+    # second stage over the text search: 50 candidates, BM25, rerank
+    c50 = O.flat_knn("qv_vec", "(select distinct query_id from tq)", "pv_vec",
+                     "(select product_id from texts_basic)", "query_id", "product_id", 50, "c50")
+    bm = {
+        **c50,
+        "cands": "select query_id, rank retrieval_rank, product_id from c50",
+        "qt": ("select distinct query_id, token from (select query_id, unnest(" +
+               O.tokens("query") + ") token from tq)"),
+        "ntok": "select sum(tf) n from pv_terms",
+        "dl": "select product_id, sum(tf) dl from pv_terms group by all",
+        "bm": ("select c.query_id, c.product_id, sum(ln(1e0 + ((select n from pv_n) - i.df + 0.5e0)"
+               " / (i.df + 0.5e0)) * t.tf * 2.2e0 / (t.tf + 1.2e0 * (0.25e0 + 0.75e0 * l.dl / "
+               "((select n from ntok)::DOUBLE / (select n from pv_n))))) score from cands c "
+               "join qt q on q.query_id = c.query_id join pv_terms t on t.product_id = c.product_id"
+               " and t.token = q.token join pv_idf i on i.token = q.token join dl l on "
+               "l.product_id = c.product_id group by all"),
+        "scored": ("select c.*, coalesce(b.score, 0e0) score from cands c left join bm b "
+                   "on b.query_id = c.query_id and b.product_id = c.product_id"),
+        "rr": ("select *, row_number() over (partition by query_id order by round(score, 6) desc,"
+               " retrieval_rank) rank from scored"),
     }
+    ext.update(bm)
+    ext.update(vec)
+    ext.update(ivf_f)
+    ext.update(lsh_f)
+    rr_names = (test + idx_names + ["tq", "qv_terms", "qv_w", "qv_vec", "c50_dot", "c50_all", "c50",
+                                    "cands", "qt", "ntok", "dl", "bm", "scored", "rr"])
     return {
         "scan_judgments": O.cte(base[:-1], body="select * from examples"),
         "scan_catalog": O.cte(["products"], body="select * from products"),
@@ -167,10 +335,34 @@ def _oracle() -> dict[str, str]:
                                body="select * from texts_enhanced"),
         "embed_hashed": O.cte(prep + idx_names, ext,
                               "select product_id, bucket, round(w::DOUBLE, 6) w from pv_vec"),
-        "knn_flat": O.cte(list(vec), vec,
-                          "select query_vec_id, rank, cand_id, round(score, 6) score from ("
-                          "select *, row_number() over (partition by query_vec_id order by "
-                          "round(score, 6) desc, cand_id) rank from evs) where rank <= 10"),
+        "knn_flat": O.cte(list(vec), ext, topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
+        "ivf_assign": O.cte(ivf_base, ext, "select * from asg"),
+        "knn_ivf": O.cte(ivf_base + ["prb2", "ivf2"], ext,
+                         topk.format(q="query_vec_id", c="cand_id", src="ivf2", k=K)),
+        "knn_ivf_all_cells": O.cte(list(vec), ext,
+                                   topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
+        "ivf_short_lists": O.cte(ivf_base + ["prb1", "ivf1"], ext,
+                                 "select query_vec_id, count(*) n_results from (" +
+                                 topk.format(q="query_vec_id", c="cand_id", src="ivf1", k=50) +
+                                 ") group by all"),
+        "knn_lsh": O.cte(list(vec) + list(lsh_f), ext,
+                         topk.format(q="query_vec_id", c="cand_id", src="ls", k=K)),
+        "l2_normalize": O.cte(["ev"], ext, "select vec_id, j, round(x::DOUBLE, 6) x from ("
+                              "select vec_id, unnest(vec) x, unnest(range(len(vec))) j from ev)"),
+        "candidate_texts": O.cte(rr_names[:-4], ext,
+                                 "select c.query_id, c.retrieval_rank, c.product_id, "
+                                 "coalesce(t.text, '') text from cands c left join texts_basic t "
+                                 "on t.product_id = c.product_id"),
+        "bm25_pairs": O.cte(rr_names[:-1], ext, "select query_id, retrieval_rank, product_id, "
+                            "round(score, 6) score from scored"),
+        "rerank_topk": O.cte(rr_names, ext, "select query_id, rank, retrieval_rank, product_id, "
+                             "round(score, 6) score from rr where rank <= 10"),
+        "search_reranked": O.cte(rr_names, ext, "select query_id, rank, product_id, "
+                                 "round(score, 6) score from rr where rank <= 10"),
+        "search_scored": O.cte(rr_names, ext, "select r.query_id, r.rank, r.product_id, "
+                               "round(r.score, 6) score, coalesce(substring(t.text, 1, 80) || "
+                               "'...', '') preview from rr r left join texts_basic t on "
+                               "t.product_id = r.product_id where r.rank <= 5"),
         "search_flat": O.cte(srch, ext,
                              "select query_id, rank, product_id, round(score, 6) score from preds"),
         "eval_metrics": O.cte(srch + ["relevant"], ext, _METRICS_BODY),

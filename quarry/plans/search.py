@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import product_text
 from quarry.operators import encode as enc
+from quarry.operators import rerank as rr
 from quarry.operators.knn import flat_knn
 from quarry.operators.prepare import unique_products
 
@@ -26,6 +27,13 @@ class TextIndex:
     vectors: DataFrame    # product_id, idx, val
     model: enc.HashedModel
     terms: DataFrame      # product_id, token, tf (corpus statistics, reused by BM25)
+    n_tokens: int | None = None
+
+    def total_tokens(self) -> int:
+        """Corpus length in tokens (for BM25's average document length)."""
+        if self.n_tokens is None:
+            self.n_tokens = int(self.terms.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0])
+        return self.n_tokens
 
 
 def product_texts(merged: DataFrame, strategy: str = "basic") -> DataFrame:
@@ -65,3 +73,27 @@ def candidate_texts(cands: DataFrame, texts: DataFrame) -> DataFrame:
     """Attach the product text, '' when the product has none."""
     return (cands.join(texts, "product_id", "left")
             .withColumn("text", F.coalesce(F.col("text"), F.lit(""))))
+
+
+def retrieve_candidates(queries: DataFrame, index: TextIndex, depth: int = RERANK_DEPTH) -> DataFrame:
+    """First stage of a reranked search: (query_id, retrieval_rank, product_id)."""
+    return (search_flat(queries, index, depth)
+            .select("query_id", F.col("rank").alias("retrieval_rank"), "product_id"))
+
+
+def bm25_candidates(queries: DataFrame, index: TextIndex, depth: int = RERANK_DEPTH,
+                    cands: DataFrame | None = None) -> DataFrame:
+    """A13 over the first-stage candidates: adds the BM25 pair score."""
+    if cands is None:
+        cands = retrieve_candidates(queries, index, depth)
+    return rr.bm25(cands, queries, index.terms, index.model.idf, index.model.n_docs,
+                   index.total_tokens())
+
+
+def search_reranked(queries: DataFrame, index: TextIndex, k: int = 10,
+                    depth: int = RERANK_DEPTH, cands: DataFrame | None = None) -> DataFrame:
+    """C3 with rerank: retrieve ``depth``, rerank by pair score, keep k
+    (so k > depth still yields at most depth rows)."""
+    scored = bm25_candidates(queries, index, depth, cands)
+    return (rr.rerank_topk(scored, k)
+            .select("query_id", "rank", "product_id", F.round("score", 6).alias("score")))
