@@ -15,6 +15,7 @@ from quarry.functions.vectors import l2_normalize
 from quarry.operators import encode as enc
 from quarry.operators import metrics as M
 from quarry.operators import prepare as P
+from quarry.operators import analysis as AN
 from quarry.operators import ivf, lsh
 from quarry.operators import rerank as rr
 from quarry.operators.knn import flat_knn
@@ -210,6 +211,110 @@ def q_search_scored(spark, d):
         "query_id", "rank", "product_id", "score", TX.preview("text", 80).alias("preview"))
 
 
+def q_split_counts(spark, d):
+    prep = _prepared(spark, d)
+    return (prep.where(F.col("split").isin("train", "test")).groupBy("split")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("query_id").alias("n_queries")))
+
+
+def q_test_set(spark, d):
+    return P.test_set(_merged(spark, d))
+
+
+def q_unique_products(spark, d):
+    return P.unique_products(_prepared(spark, d))
+
+
+def q_relevant_set(spark, d):
+    return P.relevant_set(_test(spark, d))
+
+
+def q_sample_frac(spark, d):
+    return _prepared(spark, d, frac=0.1)
+
+
+def q_prepare_dataset(spark, d):
+    """C1 with a 10 % sample: the de-duplicated products of the sample."""
+    return P.unique_products(_prepared(spark, d, frac=0.1))
+
+
+def q_first_per_query(spark, d):
+    return P.first_per_query(P.test_set(_merged(spark, d)))
+
+
+def q_sample_queries_n(spark, d):
+    firsts = P.first_per_query(P.test_set(_merged(spark, d)))
+    return P.sample_queries(firsts, 50).select("query_id", "query")
+
+
+def q_ground_truth_map(spark, d):
+    return P.ground_truth(_test(spark, d))
+
+
+def q_first_hit_rank(spark, d):
+    test, tq, idx = _search_inputs(spark, d)
+    pq = M.per_query(S.search_flat(tq, idx, K), P.relevant_set(test), tq)
+    # 0 = no relevant product in the list
+    return pq.withColumn("first_hit", F.coalesce("first_hit", F.lit(0)))
+
+
+def q_query_word_count(spark, d):
+    return P.test_queries(_test(spark, d)).select("query_id", TX.word_count("query").alias("words"))
+
+
+def q_quick_hits10(spark, d):
+    """50 sampled test queries, reranked search, Hits@10 without the
+    length rule."""
+    merged = _merged(spark, d)
+    test = P.test_set(merged)
+    firsts = P.sample_queries(P.first_per_query(test), 50).select("query_id", "query")
+    idx = _index(spark, d)
+    preds = S.search_reranked(firsts, idx, K)
+    return M.quick_hits(preds, P.relevant_set(test), firsts, K)
+
+
+def _errors(spark, d, n_sample=500):
+    """C9 inputs: 500 sampled test queries (first row per query), retrieve
+    50, BM25 rerank, top 10, classified."""
+    tset = P.test_set(_merged(spark, d))
+    sample = P.sample_queries(P.first_per_query(tset), n_sample).select("query_id", "query")
+    idx = _index(spark, d)
+    preds = S.search_reranked(sample, idx, K)
+    rows = AN.classify(preds, tset, sample)
+    return tset, sample, idx, preds, rows
+
+
+def q_error_breakdown_rows(spark, d):
+    return _errors(spark, d)[4]
+
+
+def q_error_breakdown(spark, d):
+    return AN.breakdown(_errors(spark, d)[4])
+
+
+def q_miss_length_profile(spark, d):
+    return AN.miss_length_profile(_errors(spark, d)[4])
+
+
+def q_success_rank_hist(spark, d):
+    return AN.success_rank_hist(_errors(spark, d)[4])
+
+
+def q_failure_examples(spark, d):
+    tset, sample, idx, preds, rows = _errors(spark, d)
+    return AN.failure_examples(rows, tset, preds, idx.texts, sample)
+
+
+def q_result_coverage(spark, d):
+    _, _, _, preds, rows = _errors(spark, d)
+    return AN.coverage(preds, rows)
+
+
+def q_error_insights(spark, d):
+    _, _, _, preds, rows = _errors(spark, d)
+    return AN.insights(rows, preds)
+
+
 QUERIES = {
     "scan_judgments": q_scan_judgments,
     "scan_catalog": q_scan_catalog,
@@ -234,6 +339,25 @@ QUERIES = {
     "rerank_topk": q_rerank_topk,
     "search_reranked": q_search_reranked,
     "search_scored": q_search_scored,
+    "split_counts": q_split_counts,
+    "test_set": q_test_set,
+    "unique_products": q_unique_products,
+    "relevant_set": q_relevant_set,
+    "sample_frac": q_sample_frac,
+    "prepare_dataset": q_prepare_dataset,
+    "first_per_query": q_first_per_query,
+    "sample_queries_n": q_sample_queries_n,
+    "ground_truth_map": q_ground_truth_map,
+    "first_hit_rank": q_first_hit_rank,
+    "query_word_count": q_query_word_count,
+    "quick_hits10": q_quick_hits10,
+    "error_breakdown_rows": q_error_breakdown_rows,
+    "error_breakdown": q_error_breakdown,
+    "miss_length_profile": q_miss_length_profile,
+    "success_rank_hist": q_success_rank_hist,
+    "failure_examples": q_failure_examples,
+    "result_coverage": q_result_coverage,
+    "error_insights": q_error_insights,
 }
 
 
@@ -319,11 +443,58 @@ def _oracle() -> dict[str, str]:
                " retrieval_rank) rank from scored"),
     }
     ext.update(bm)
+    ext.update({
+        "smp5": ("select query_id, query from fpq order by md5('42-' || query_id::VARCHAR), "
+                 "query_id limit 500"),
+        "lab": ("select distinct query_id, product_id, esci_label label from tset "
+                "where esci_label in ('E', 'S')"),
+        "st": ("select query_id, count(distinct product_id) n_relevant, count(distinct case "
+               "when label = 'E' then product_id end) n_exact from lab group by query_id"),
+        "smpl": ("select query_id, string_agg(product_id, ',' order by product_id) rs from "
+                 "(select *, row_number() over (partition by query_id order by product_id) r "
+                 "from (select distinct query_id, product_id from lab)) where r <= 3 "
+                 "group by query_id"),
+        "pr": "select * from rr where rank <= 10 and query_id in (select query_id from smp5)",
+        "hh": ("select p.query_id, min(case when l.label = 'E' then p.rank end) fe, "
+               "max(case when l.label = 'S' then 1 else 0 end) fs from pr p join lab l on "
+               "l.query_id = p.query_id and l.product_id = p.product_id group by p.query_id"),
+        "er": ("select q.query_id, case when h.fe is null and coalesce(h.fs, 0) = 0 then "
+               "'complete_miss' when h.fe is null and s.n_exact > 0 then 'substitute_only' "
+               "when h.fe is not null then 'success' else 'unclassified' end outcome, "
+               "(h.fe is not null and h.fe > 5) low_rank, coalesce(h.fe, 0) first_exact_rank, "
+               "len(list_filter(regexp_split_to_array(" + O.strip("q.query") + ", '" + O.WS +
+               "+'), lambda x: x <> '')) query_words, s.n_relevant, s.n_exact, "
+               "case when h.fe is null and coalesce(h.fs, 0) = 0 then m.rs else '' end "
+               "relevant_sample, m.rs from smp5 q join st s on s.query_id = q.query_id "
+               "left join hh h on h.query_id = q.query_id join smpl m on m.query_id = q.query_id"),
+        "fex": ("select query_id, product_title expected from (select t.query_id, t.product_title,"
+                " row_number() over (partition by t.query_id order by t.example_id) r from tset t"
+                " where exists (select 1 from tset e where e.esci_label = 'E' and "
+                "e.query_id = t.query_id and e.product_id = t.product_id)) where r = 1"),
+        "top1": ("select p.query_id, substring(coalesce(t.text, ''), 1, 100) got from pr p left "
+                 "join texts_basic t on t.product_id = p.product_id where p.rank = 1"),
+        "prepared_s": ("select * from prepared where ('0x' || substr(md5('42-' || "
+                       "example_id::VARCHAR), 1, 8))::BIGINT / 4294967296e0 < 0.1e0"),
+        "uniq_s": ("select product_id, product_title, product_description, product_bullet_point,"
+                   " product_brand, product_color from (select *, row_number() over (partition "
+                   "by product_id order by example_id) rn0 from prepared_s) where rn0 = 1"),
+        "tset": ("select * from merged where split = 'test' and small_version = 1 and "
+                 "product_locale = 'us'"),
+        "fpq": "select query_id, " + ", ".join(
+            f"arg_min({c}, example_id) filter (where {c} is not null) {c}" for c in
+            ["example_id", "query", "product_id", "product_locale", "esci_label", "small_version",
+             "large_version", "split", "product_title", "product_brand", "product_color",
+             "product_bullet_point", "product_description"]) +
+            " from tset where query_id is not null group by query_id",
+        "smp": ("select query_id, query from fpq order by md5('42-' || query_id::VARCHAR), "
+                "query_id limit 50"),
+    })
     ext.update(vec)
     ext.update(ivf_f)
     ext.update(lsh_f)
     rr_names = (test + idx_names + ["tq", "qv_terms", "qv_w", "qv_vec", "c50_dot", "c50_all", "c50",
                                     "cands", "qt", "ntok", "dl", "bm", "scored", "rr"])
+    err = rr_names + ["tset", "fpq", "smp5", "lab", "st", "smpl", "pr", "hh", "er"]
     return {
         "scan_judgments": O.cte(base[:-1], body="select * from examples"),
         "scan_catalog": O.cte(["products"], body="select * from products"),
@@ -335,6 +506,31 @@ def _oracle() -> dict[str, str]:
                                body="select * from texts_enhanced"),
         "embed_hashed": O.cte(prep + idx_names, ext,
                               "select product_id, bucket, round(w::DOUBLE, 6) w from pv_vec"),
+        "split_counts": O.cte(prep, body="select split, count(*) n_rows, count(distinct query_id) "
+                              "n_queries from prepared where split in ('train', 'test') group by split"),
+        "test_set": O.cte(base + ["tset"], ext, "select * from tset"),
+        "unique_products": O.cte(prep + ["uniq"], body="select * from uniq"),
+        "relevant_set": O.cte(test + ["relevant"], body="select * from relevant"),
+        "sample_frac": O.cte(prep + ["prepared_s"], ext, "select * from prepared_s"),
+        "prepare_dataset": O.cte(prep + ["prepared_s", "uniq_s"], ext, "select * from uniq_s"),
+        "first_per_query": O.cte(base + ["tset", "fpq"], ext, "select * from fpq"),
+        "sample_queries_n": O.cte(base + ["tset", "fpq", "smp"], ext, "select * from smp"),
+        "ground_truth_map": O.cte(test, body="select query_id, esci_label label, product_id, "
+                                  "example_id from test where esci_label in ('E','S','C','I')"),
+        "first_hit_rank": O.cte(srch + ["relevant"], ext, _PQ + " select query_id, n_pred, "
+                                "coalesce(first_hit, 0) first_hit from pq"),
+        "query_word_count": O.cte(test + ["tq"], body="select query_id, len(list_filter("
+                                  f"regexp_split_to_array({O.strip('query')}, '{O.WS}+'), "
+                                  "lambda x: x <> '')) words from tq"),
+        "quick_hits10": O.cte(rr_names + ["relevant", "tset", "fpq", "smp"], ext, _QUICK),
+        "error_breakdown_rows": O.cte(err, ext, "select * exclude (rs) from er"),
+        "error_breakdown": O.cte(err, ext, _BREAKDOWN),
+        "miss_length_profile": O.cte(err, ext, _MISSLEN),
+        "success_rank_hist": O.cte(err, ext, _RANKHIST),
+        "failure_examples": O.cte(err + ["fex", "top1"], ext, _FAILEX),
+        "result_coverage": O.cte(err, ext, "select count(distinct product_id) unique_products "
+                                 "from pr"),
+        "error_insights": O.cte(err, ext, _INSIGHTS),
         "knn_flat": O.cte(list(vec), ext, topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
         "ivf_assign": O.cte(ivf_base, ext, "select * from asg"),
         "knn_ivf": O.cte(ivf_base + ["prb2", "ivf2"], ext,
@@ -369,6 +565,66 @@ def _oracle() -> dict[str, str]:
     }
 
 
+_PQ = """
+, pq as (
+  select b.query_id, coalesce(h.n_pred, 0) n_pred, h.first_hit
+  from (select distinct query_id from tq where query_id in (select query_id from relevant)) b
+  left join (select p.query_id, count(*) n_pred,
+                    min(case when r.product_id is not null then p.rank end) first_hit
+             from preds p left join relevant r
+               on r.query_id = p.query_id and r.product_id = p.product_id
+             group by p.query_id) h on h.query_id = b.query_id)"""
+
+_QUICK = """
+, qh as (select s.query_id, min(case when r.product_id is not null then p.rank end) fh
+   from smp s join (select distinct query_id from relevant) j on j.query_id = s.query_id
+   left join (select * from rr where rank <= 10) p on p.query_id = s.query_id
+   left join relevant r on r.query_id = p.query_id and r.product_id = p.product_id
+   group by s.query_id)
+select round(coalesce(avg(case when fh is not null then 1e0 else 0e0 end), 0e0), 6) "Hits@10",
+       count(*) n_queries from qh"""
+
+_BREAKDOWN = """
+, b as (select count(case when outcome = 'success' then 1 end) n_success,
+        count(case when outcome = 'complete_miss' then 1 end) n_complete_miss,
+        count(case when outcome = 'substitute_only' then 1 end) n_substitute_only,
+        count(case when outcome = 'unclassified' then 1 end) n_unclassified,
+        count(case when low_rank then 1 end) n_low_rank, count(*) n_judged from er)
+select *, n_success + n_complete_miss n_analyzed,
+       case when n_success + n_complete_miss > 0 then round(n_success * 100e0 / (n_success + n_complete_miss), 1) end success_pct,
+       case when n_success + n_complete_miss > 0 then round(n_complete_miss * 100e0 / (n_success + n_complete_miss), 1) end miss_pct,
+       case when n_judged > 0 then round(n_success * 100e0 / n_judged, 1) end success_pct_all
+from b"""
+
+_MISSLEN = """
+select count(*) n_misses, round(avg(query_words), 6) mean_words,
+       count(case when query_words <= 2 then 1 end) words_1_2,
+       count(case when query_words between 3 and 4 then 1 end) words_3_4,
+       count(case when query_words >= 5 then 1 end) words_5_plus
+from er where outcome = 'complete_miss'"""
+
+_RANKHIST = """
+select count(*) n_success, count(case when first_exact_rank = 1 then 1 end) rank_1,
+       count(case when first_exact_rank between 2 and 3 then 1 end) rank_2_3,
+       count(case when first_exact_rank between 4 and 5 then 1 end) rank_4_5,
+       count(case when first_exact_rank between 6 and 10 then 1 end) rank_6_10,
+       case when count(*) > 0 then round(count(case when first_exact_rank = 1 then 1 end) * 100e0 / count(*), 1) end rank_1_pct
+from er where outcome = 'success'"""
+
+_FAILEX = """
+select e.query_id, q.query, f.expected, coalesce(t.got, 'None') got
+from er e join smp5 q on q.query_id = e.query_id left join fex f on f.query_id = e.query_id
+left join top1 t on t.query_id = e.query_id
+where e.outcome = 'complete_miss' and e.n_exact > 0
+order by md5('42-' || e.query_id::VARCHAR), e.query_id limit 20"""
+
+_INSIGHTS = """
+, m as (select count(*) n_misses, avg(query_words) mw from er where outcome = 'complete_miss'),
+b as (select count(case when low_rank then 1 end) n_low, count(case when outcome = 'complete_miss' then 1 end) n_cm from er),
+c as (select count(distinct product_id) unique_products from pr)
+select (m.n_misses > 0 and m.mw < 3) short_queries_fail, (b.n_low > b.n_cm) ranked_low, c.unique_products
+from m, b, c"""
+
 _METRICS_BODY = """
 , pq as (
   select b.query_id, coalesce(h.n_pred, 0) n_pred, h.first_hit
