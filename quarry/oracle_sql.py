@@ -117,12 +117,13 @@ def sign(tok: str) -> str:
     return f"(case when ('0x' || substr(md5({tok}), 7, 1))::INTEGER % 2 = 0 then 1e0 else -1e0 end)"
 
 
-def encoder(prefix: str, texts: str, id_col: str, dim: int, stats: str | None = None) -> dict:
+def encoder(prefix: str, texts: str, id_col: str, dim: int, stats: str | None = None,
+            text_col: str = "text") -> dict:
     """Fragments <prefix>_terms, <prefix>_idf (when stats is None: fitted on
     this corpus), <prefix>_vec (id, bucket, w float)."""
     out = {}
     out[f"{prefix}_terms"] = (f"select {id_col}, token, count(*) tf from (select {id_col}, "
-                             f"unnest({tokens('text')}) token from {texts}) group by all")
+                             f"unnest({tokens(text_col)}) token from {texts}) group by all")
     st = stats or prefix
     if stats is None:
         out[f"{prefix}_n"] = f"select count(*) n from {texts}"
@@ -162,3 +163,60 @@ def cte(names: list[str], extra: dict | None = None, body: str = "") -> str:
         frags.update(extra)
     parts = ",\n".join(f"{n} as ({frags[n]})" for n in names)
     return f"with {parts}\n{body}"
+
+
+TEXTS = {"basic": BASIC, "enhanced": ENHANCED}
+
+
+def eval_pipeline(p: str, strategy: str, dim: int, rerank: bool, k: int = 10,
+                  depth: int = 50) -> tuple[dict, list[str]]:
+    """Fragments of one evaluation run (after ``test``, ``tq``, ``uniq``,
+    ``relevant``): texts -> encoder -> exact top-(depth|k) -> optional BM25
+    rerank -> per-query hits -> ``<p>_m`` (the metrics row)."""
+    fr: dict = {f"{p}_texts": f"select product_id, {TEXTS[strategy]} text from uniq"}
+    fr.update(encoder(f"{p}_pv", f"{p}_texts", "product_id", dim))
+    fr.update(encoder(f"{p}_qv", "tq", "query_id", dim, stats=f"{p}_pv", text_col="query"))
+    n1 = depth if rerank else k
+    fr.update(flat_knn(f"{p}_qv_vec", "(select distinct query_id from tq)", f"{p}_pv_vec",
+                       f"(select product_id from {p}_texts)", "query_id", "product_id", n1, f"{p}_c"))
+    names = [f"{p}_texts", f"{p}_pv_terms", f"{p}_pv_n", f"{p}_pv_idf", f"{p}_pv_w", f"{p}_pv_vec",
+             f"{p}_qv_terms", f"{p}_qv_w", f"{p}_qv_vec", f"{p}_c_dot", f"{p}_c_all", f"{p}_c"]
+    if rerank:
+        fr.update({
+            f"{p}_qt": ("select distinct query_id, token from (select query_id, unnest(" +
+                        tokens("query") + ") token from tq)"),
+            f"{p}_ntok": f"select sum(tf) n from {p}_pv_terms",
+            f"{p}_dl": f"select product_id, sum(tf) dl from {p}_pv_terms group by all",
+            f"{p}_bm": (f"select c.query_id, c.product_id, sum(ln(1e0 + ((select n from {p}_pv_n) "
+                        f"- i.df + 0.5e0) / (i.df + 0.5e0)) * t.tf * 2.2e0 / (t.tf + 1.2e0 * "
+                        f"(0.25e0 + 0.75e0 * l.dl / ((select n from {p}_ntok)::DOUBLE / "
+                        f"(select n from {p}_pv_n))))) score from {p}_c c join {p}_qt q on "
+                        f"q.query_id = c.query_id join {p}_pv_terms t on t.product_id = "
+                        f"c.product_id and t.token = q.token join {p}_pv_idf i on i.token = "
+                        f"q.token join {p}_dl l on l.product_id = c.product_id group by all"),
+            f"{p}_rr": (f"select c.query_id, c.product_id, row_number() over (partition by "
+                        f"c.query_id order by round(coalesce(b.score, 0e0), 6) desc, c.rank) rank "
+                        f"from {p}_c c left join {p}_bm b on b.query_id = c.query_id and "
+                        f"b.product_id = c.product_id"),
+            f"{p}_preds": f"select * from {p}_rr where rank <= {k}",
+        })
+        names += [f"{p}_qt", f"{p}_ntok", f"{p}_dl", f"{p}_bm", f"{p}_rr", f"{p}_preds"]
+    else:
+        fr[f"{p}_preds"] = f"select query_id, rank, product_id from {p}_c"
+        names.append(f"{p}_preds")
+    fr[f"{p}_pq"] = (
+        "select b.query_id, coalesce(h.n_pred, 0) n_pred, h.first_hit from (select distinct "
+        "query_id from tq where query_id in (select query_id from relevant)) b left join "
+        "(select p.query_id, count(*) n_pred, min(case when r.product_id is not null then "
+        f"p.rank end) first_hit from {p}_preds p left join relevant r on r.query_id = "
+        "p.query_id and r.product_id = p.product_id group by p.query_id) h on h.query_id = "
+        "b.query_id")
+    hk = lambda kk: (f"round(coalesce(avg(case when n_pred >= {kk} then (case when first_hit <= "
+                     f"{kk} then 1e0 else 0e0 end) end), 0e0), 6) \"Hits@{kk}\"")
+    fr[f"{p}_m"] = (f"select {hk(1)}, {hk(5)}, {hk(10)}, round(coalesce(avg(case when "
+                    "first_hit <= 10 then 1e0 / first_hit else 0e0 end), 0e0), 6) \"MRR\", "
+                    "count(*) \"Num_Queries\", count(case when n_pred >= 1 then 1 end) n_at_1, "
+                    "count(case when n_pred >= 5 then 1 end) n_at_5, count(case when n_pred >= "
+                    f"10 then 1 end) n_at_10 from {p}_pq")
+    names += [f"{p}_pq", f"{p}_m"]
+    return fr, names

@@ -16,6 +16,10 @@ from quarry.operators import encode as enc
 from quarry.operators import metrics as M
 from quarry.operators import prepare as P
 from quarry.operators import analysis as AN
+from quarry.operators import cache as CACHE
+from quarry.plans import index_store as STORE
+from quarry.plans import runs as RUNS
+from quarry.session import scratch_path
 from quarry.operators import ivf, lsh
 from quarry.operators import rerank as rr
 from quarry.operators.knn import flat_knn
@@ -315,6 +319,83 @@ def q_error_insights(spark, d):
     return AN.insights(rows, preds)
 
 
+def _scratch(spark, name):
+    import uuid
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _cache_runs(spark, d):
+    """Prime the cache with the texts of products judged in the train split,
+    then encode the whole corpus through it."""
+    prep = _prepared(spark, d)
+    idx = _index(spark, d)
+    path = _scratch(spark, "embed-cache")
+    key = CACHE.model_key(idx.model, f"n{idx.model.n_docs}")
+    train_texts = S.product_texts(P.split(prep, "train"), "basic")
+    CACHE.encode_cached(train_texts, idx.model, key, path)
+    vectors, misses = CACHE.encode_cached(idx.texts, idx.model, key, path)
+    return idx, vectors, misses, path
+
+
+def q_embed_cached(spark, d):
+    _, vectors, _, _ = _cache_runs(spark, d)
+    return enc.encode_long(vectors, "product_id").select(
+        "product_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("w"))
+
+
+def q_embed_cache_misses(spark, d):
+    idx, _, misses, _ = _cache_runs(spark, d)
+    keyed = idx.texts.select("product_id", F.sha2("text", 256).alias("text_hash"))
+    return (keyed.join(misses.withColumn("miss", F.lit(True)), "text_hash", "left")
+            .select("product_id", F.col("miss").isNull().alias("cached")))
+
+
+def q_cache_inventory(spark, d):
+    _, _, _, path = _cache_runs(spark, d)
+    return CACHE.inventory(spark, path).select(
+        F.regexp_extract("model", "^(hashed-[0-9]+)", 1).alias("encoder"), "entries", "bytes")
+
+
+def _saved_index(spark, d):
+    idx = _index(spark, d)
+    path = _scratch(spark, "index")
+    cfg = {"text_strategy": "basic", "dim": DIM, "index_type": "flat", "version": "small",
+           "locale": "us", "sample_frac": None}
+    fp = STORE.fingerprint(cfg, STORE.corpus_hash(idx.texts))
+    STORE.save_index(idx, f"{path}/{fp}", cfg, fp)
+    return path, fp
+
+
+def q_index_roundtrip(spark, d):
+    root, fp = _saved_index(spark, d)
+    loaded = STORE.load_index(spark, STORE.find_index(spark, root, fp))
+    return enc.encode_long(loaded.vectors, "product_id").select(
+        "product_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("w"))
+
+
+def q_index_stats(spark, d):
+    root, fp = _saved_index(spark, d)
+    return STORE.index_stats(spark, f"{root}/{fp}").select("table", "n_rows")
+
+
+def q_results_sink(spark, d):
+    metrics = q_eval_metrics(spark, d)
+    out = RUNS.save_results(metrics, _scratch(spark, "results"))
+    return spark.read.option("header", True).schema(metrics.schema).csv(out)
+
+
+def _sweep(spark, d):
+    return RUNS.sweep(_judg(spark, d), _cat(spark, d), RUNS.SWEEP)
+
+
+def q_run_comparison(spark, d):
+    return RUNS.comparison(_sweep(spark, d))
+
+
+def q_best_run(spark, d):
+    return RUNS.best(_sweep(spark, d)).select("seq", "name", "MRR")
+
+
 QUERIES = {
     "scan_judgments": q_scan_judgments,
     "scan_catalog": q_scan_catalog,
@@ -358,6 +439,14 @@ QUERIES = {
     "failure_examples": q_failure_examples,
     "result_coverage": q_result_coverage,
     "error_insights": q_error_insights,
+    "embed_cached": q_embed_cached,
+    "embed_cache_misses": q_embed_cache_misses,
+    "cache_inventory": q_cache_inventory,
+    "index_roundtrip": q_index_roundtrip,
+    "index_stats": q_index_stats,
+    "results_sink": q_results_sink,
+    "run_comparison": q_run_comparison,
+    "best_run": q_best_run,
 }
 
 
@@ -494,6 +583,21 @@ def _oracle() -> dict[str, str]:
     ext.update(lsh_f)
     rr_names = (test + idx_names + ["tq", "qv_terms", "qv_w", "qv_vec", "c50_dot", "c50_all", "c50",
                                     "cands", "qt", "ntok", "dl", "bm", "scored", "rr"])
+    ext["tr_uniq"] = ("select product_id, product_title, product_description, "
+                      "product_bullet_point, product_brand, product_color from (select *, "
+                      "row_number() over (partition by product_id order by example_id) rn0 "
+                      "from prepared where split = 'train') where rn0 = 1")
+    ext["tr_texts"] = f"select product_id, {O.BASIC} text from tr_uniq"
+    sweep_names = test + ["uniq", "tq", "relevant"]
+    unions = []
+    for seq, cfg in enumerate(RUNS.SWEEP):
+        fr, names = O.eval_pipeline(f"s{seq}", cfg.text_strategy, cfg.dim, cfg.use_reranker,
+                                    cfg.k, cfg.depth)
+        ext.update(fr)
+        sweep_names += names
+        unions.append(f"select {seq} seq, '{cfg.name}' name, * from s{seq}_m")
+    ext["sw"] = " union all ".join(unions)
+    sweep_names.append("sw")
     err = rr_names + ["tset", "fpq", "smp5", "lab", "st", "smpl", "pr", "hh", "er"]
     return {
         "scan_judgments": O.cte(base[:-1], body="select * from examples"),
@@ -531,6 +635,29 @@ def _oracle() -> dict[str, str]:
         "result_coverage": O.cte(err, ext, "select count(distinct product_id) unique_products "
                                  "from pr"),
         "error_insights": O.cte(err, ext, _INSIGHTS),
+        "embed_cached": O.cte(prep + idx_names, ext,
+                              "select product_id, bucket, round(w::DOUBLE, 6) w from pv_vec"),
+        "index_roundtrip": O.cte(prep + idx_names, ext,
+                                 "select product_id, bucket, round(w::DOUBLE, 6) w from pv_vec"),
+        "embed_cache_misses": O.cte(prep + ["uniq", "texts_basic", "tr_uniq", "tr_texts"], ext,
+                                    "select product_id, sha256(text) in (select sha256(text) "
+                                    "from tr_texts) cached from texts_basic"),
+        "cache_inventory": O.cte(prep + idx_names, ext,
+                                 "select 'hashed-4096' encoder, count(*) entries, "
+                                 "(sum(nnz) * 8)::BIGINT bytes from (select distinct sha256(t.text) h, "
+                                 "coalesce(v.nnz, 0) nnz from texts_basic t left join (select "
+                                 "product_id, count(*) nnz from pv_vec group by all) v "
+                                 "on v.product_id = t.product_id)"),
+        "index_stats": O.cte(prep + idx_names, ext,
+                             "select 'texts' \"table\", count(*) n_rows from texts_basic union all "
+                             "select 'vectors', count(*) from texts_basic union all "
+                             "select 'terms', count(*) from pv_terms union all "
+                             "select 'idf', count(*) from pv_idf"),
+        "results_sink": O.cte(srch + ["relevant"], ext, _METRICS_BODY),
+        "run_comparison": O.cte(sweep_names, ext, "select seq, name, \"Hits@1\", \"Hits@5\", "
+                                "\"Hits@10\", \"MRR\" from sw"),
+        "best_run": O.cte(sweep_names, ext, "select seq, name, \"MRR\" from sw "
+                          "order by \"MRR\" desc, seq limit 1"),
         "knn_flat": O.cte(list(vec), ext, topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
         "ivf_assign": O.cte(ivf_base, ext, "select * from asg"),
         "knn_ivf": O.cte(ivf_base + ["prb2", "ivf2"], ext,

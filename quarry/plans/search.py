@@ -41,11 +41,26 @@ def product_texts(merged: DataFrame, strategy: str = "basic") -> DataFrame:
     return unique_products(merged).select("product_id", product_text(strategy).alias("text"))
 
 
-def build_text_index(texts: DataFrame, dim: int = enc.DEFAULT_DIM) -> TextIndex:
-    """Tokens -> corpus statistics -> vectors."""
+def build_text_index(texts: DataFrame, dim: int = enc.DEFAULT_DIM,
+                     materialize: bool = True) -> TextIndex:
+    """Tokens -> corpus statistics -> vectors.
+
+    With ``materialize`` every table of the index is written once to the
+    shared checkpoint folder (``DataFrame.checkpoint``): the lineage is cut,
+    a lost executor re-reads files instead of re-running the preparation,
+    and the term table -- used by the idf fit, the encoder and BM25 -- is
+    computed once."""
+    if materialize:
+        texts = texts.checkpoint()
     terms = enc.term_counts(texts, "product_id")
+    if materialize:
+        terms = terms.checkpoint()
     model = enc.fit(texts, "product_id", dim=dim, terms=terms)
+    if materialize:
+        model.idf = model.idf.checkpoint()
     vectors = enc.encode(texts, model, "product_id", terms=terms)
+    if materialize:
+        vectors = vectors.checkpoint()
     return TextIndex(texts=texts, vectors=vectors, model=model, terms=terms)
 
 
