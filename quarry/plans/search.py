@@ -38,7 +38,8 @@ class TextIndex:
 
 def product_texts(merged: DataFrame, strategy: str = "basic") -> DataFrame:
     """T1/T2 over the de-duplicated products of the prepared data."""
-    return unique_products(merged).select("product_id", product_text(strategy).alias("text"))
+    expr = product_text(strategy)          # validates the strategy first
+    return unique_products(merged).select("product_id", expr.alias("text"))
 
 
 def build_text_index(texts: DataFrame, dim: int = enc.DEFAULT_DIM,
