@@ -278,3 +278,144 @@ def bucketed_knn(corpus_b: DataFrame, probes: DataFrame, k: int, *, q_id: str, c
         cands = cands.dropDuplicates([q_id, c_id])
     return rank_window(cands, k, q_id, c_id).select(
         q_id, "rank", c_id, F.round("score", ROUND).alias("score"))
+
+
+# ------------------------------------------------------- probe-scan kNN
+# The same search without moving the corpus: the query block *and* its
+# probe lists (which queries probe which IVF cell / LSH band key) are
+# broadcast under the size budget; every corpus partition is scanned in
+# place, its rows are grouped by bucket inside the task and scored only
+# against the queries probing that bucket. Nothing is shuffled but the
+# k best rows per query and partition. Above the budget the salted
+# cogroup above is used instead.
+
+
+class Probes:
+    """Query block plus bucket -> query positions (IVF), or the LSH planes
+    and per-band key -> query positions."""
+
+    def __init__(self, qb: QueryBlock, by_bucket=None, planes=None, bands=0, rows=0,
+                 band_keys=None):
+        self.qb = qb
+        self.by_bucket = by_bucket or {}
+        self.planes = planes
+        self.bands = bands
+        self.rows = rows
+        self.band_keys = band_keys or []
+        self._sub = {}
+
+    def __getstate__(self):
+        d = dict(self.__dict__)
+        d["_sub"] = {}
+        return d
+
+    def sub(self, key, pos: np.ndarray) -> QueryBlock:
+        """Sub-block of the probing queries, memoised per task worker."""
+        if key not in self._sub:
+            self._sub[key] = self.qb.rows(pos)
+        return self._sub[key]
+
+    def nbytes(self) -> int:
+        n = sum(len(v) for v in self.by_bucket.values())
+        n += sum(len(v) for d in self.band_keys for v in d.values())
+        q = self.qb
+        vec = q.dense.nbytes if q.dense is not None else q.idx.nbytes + q.val.nbytes
+        return 8 * n + vec + q.ids.nbytes
+
+
+def group_positions(keys: np.ndarray):
+    """(key, ascending positions) for each distinct key."""
+    order = np.argsort(keys, kind="stable")
+    uniq, start, count = np.unique(keys[order], return_index=True, return_counts=True)
+    for u, s, c in zip(uniq, start, count):
+        yield int(u), order[s:s + c]
+
+
+def lsh_keys(mat: np.ndarray, planes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(n x bands) band keys of the rows of ``mat`` (n x dim)."""
+    bits = (mat @ planes >= 0).astype(np.int64).reshape(len(mat), bands, rows)
+    return bits @ (1 << np.arange(rows)).astype(np.int64)
+
+
+def _scored(sub: QueryBlock, dt: np.ndarray, ids: np.ndarray, cols: np.ndarray, k: int,
+            q_id: str, c_id: str) -> list[pd.DataFrame]:
+    out = []
+    step = max(k, SCORE_SLICE_BYTES // (8 * max(sub.n, 1)))
+    for s in range(0, len(cols), step):
+        cc = cols[s:s + step]
+        sc = score_matrix(sub, dt[:, cc])
+        qi, cj = np.nonzero(topk_select(sc, k))
+        out.append(pd.DataFrame({q_id: sub.ids[qi], c_id: ids[cc][cj], "score": sc[qi, cj]}))
+    return out
+
+
+def _probe_partition(batches, bc, k, q_id, c_id, kind, mode):
+    pr: Probes = bc.value
+    frames, held = [], 0
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        pdf = pdf.sort_values(c_id, kind="stable").reset_index(drop=True)
+        dt = corpus_matrix(pdf, kind, pr.qb.dim)
+        ids = pdf[c_id].to_numpy()
+        if mode == "ivf":
+            groups = [((None, b), pr.by_bucket.get(b), cols)
+                      for b, cols in group_positions(pdf["bucket"].to_numpy())]
+        else:
+            keys = lsh_keys(dt.T, pr.planes, pr.bands, pr.rows)
+            groups = [((band, key), pr.band_keys[band].get(key), cols)
+                      for band in range(pr.bands)
+                      for key, cols in group_positions(keys[:, band])]
+        for gkey, pos, cols in groups:
+            if pos is None or len(pos) == 0:
+                continue
+            for f in _scored(pr.sub(gkey, pos), dt, ids, cols, k, q_id, c_id):
+                frames.append(f)
+                held += len(f)
+        if held > 8 * k * max(pr.qb.n, 1):
+            frames = [_dedupe_topk(frames, q_id, c_id, k)]
+            held = len(frames[0])
+    if frames:
+        yield _dedupe_topk(frames, q_id, c_id, k)
+
+
+def _dedupe_topk(frames, q_id, c_id, k):
+    df = pd.concat(frames, ignore_index=True).drop_duplicates([q_id, c_id])
+    return merge_topk([df], q_id, c_id, k)
+
+
+def probe_knn(probes: Probes, corpus: DataFrame, k: int, *, q_id: str, c_id: str, kind: str,
+              mode: str, c_type: str = "string") -> DataFrame:
+    """Broadcast-probe search (mode ``ivf``: corpus carries ``bucket``;
+    mode ``lsh``: band keys are computed in the scan)."""
+    spark = corpus.sparkSession
+    vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
+    cols = [c_id, *vec_cols] + (["bucket"] if mode == "ivf" else [])
+    bc = spark.sparkContext.broadcast(probes)
+    schema = f"{q_id} long, {c_id} {c_type}, score double"
+    cands = corpus.select(*cols).mapInPandas(
+        partial(_probe_partition, bc=bc, k=k, q_id=q_id, c_id=c_id, kind=kind, mode=mode), schema)
+    return rank_window(cands, k, q_id, c_id).select(
+        q_id, "rank", c_id, F.round("score", ROUND).alias("score"))
+
+
+def collect_block(queries: DataFrame, q_id: str, kind: str, dim: int,
+                  max_block_bytes: int = MAX_QUERY_BLOCK_BYTES) -> QueryBlock | None:
+    """The query set as one QueryBlock when its estimated size is within
+    the budget (checked by an aggregate before anything is collected);
+    None otherwise."""
+    _, est = query_block_bytes(queries, kind, dim)
+    if est > max_block_bytes:
+        return None
+    vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
+    return QueryBlock.from_pandas(queries.select(q_id, *vec_cols).toPandas(), q_id, kind, dim)
+
+
+def query_matrix(qb: QueryBlock) -> np.ndarray:
+    """Dense (Q x dim) form of a block (driver side, bounded block only)."""
+    if qb.dense is not None:
+        return qb.dense
+    m = np.zeros((qb.n, qb.dim))
+    rows = np.repeat(np.arange(qb.n), np.diff(qb.indptr))
+    m[rows, qb.idx] = qb.val
+    return m

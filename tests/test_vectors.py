@@ -130,3 +130,19 @@ def test_default_nprobe_rule():
     assert ivf.default_nprobe(10) == 2
     assert ivf.default_nprobe(3) == 1
     assert ivf.default_nprobe(256, 8) == 8
+
+
+def test_broadcast_and_shuffle_paths_agree(spark):
+    """IVF and LSH give identical rows whether probes are broadcast (corpus
+    scanned in place) or joined through the salted cogroup (over budget)."""
+    qdf, cdf, qv, cv = _dense_frames(spark, nq=15, nc=160, ties=False, seed=11)
+    cent = ivf.train(cdf, "cid", "dense", 8, nlist=5)
+    cells = ivf.assign(cdf, cent, "cid", "dense", 8)
+    kw = dict(q_id="qid", c_id="cid", kind="dense", dim=8, c_type="long")
+    rows = lambda df: sorted((r["qid"], r["rank"], r["cid"], r["score"]) for r in df.collect())  # noqa
+    a = ivf.search(qdf, cells, cent, 6, nprobe=2, **kw)
+    b = ivf.search(qdf, cells, cent, 6, nprobe=2, max_block_bytes=10, **kw)
+    assert rows(a) == rows(b)
+    c = lsh.search(qdf, cdf, 6, bands=5, rows=3, **kw)
+    d = lsh.search(qdf, cdf, 6, bands=5, rows=3, max_block_bytes=10, **kw)
+    assert rows(c) == rows(d)
