@@ -396,6 +396,25 @@ def q_best_run(spark, d):
     return RUNS.best(_sweep(spark, d)).select("seq", "name", "MRR")
 
 
+def q_index_append(spark, d):
+    """A3 as a stream: an index fitted on the products judged in the train
+    split; every other product arrives as new catalogue files and is
+    appended (three micro-batches) with the same, unretrained model."""
+    from quarry.streaming.index_append import append_stream, read_vectors
+    prep = _prepared(spark, d)
+    train_u = P.unique_products(P.split(prep, "train"))
+    idx = S.build_text_index(train_u.select("product_id", TX.basic_text().alias("text")), DIM)
+    root = _scratch(spark, "append")
+    new_rows = P.unique_products(prep).join(train_u.select("product_id"), "product_id", "left_anti")
+    new_rows.repartition(3).write.parquet(f"{root}/source")
+    q = append_stream(spark, f"{root}/source", f"{root}/vectors", idx.model, f"{root}/_stream",
+                      max_files_per_trigger=1)
+    q.awaitTermination()
+    allv = idx.vectors.unionByName(read_vectors(spark, f"{root}/vectors"))
+    return enc.encode_long(allv, "product_id").select(
+        "product_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("w"))
+
+
 QUERIES = {
     "scan_judgments": q_scan_judgments,
     "scan_catalog": q_scan_catalog,
@@ -447,6 +466,7 @@ QUERIES = {
     "results_sink": q_results_sink,
     "run_comparison": q_run_comparison,
     "best_run": q_best_run,
+    "index_append": q_index_append,
 }
 
 
@@ -588,6 +608,12 @@ def _oracle() -> dict[str, str]:
                       "row_number() over (partition by product_id order by example_id) rn0 "
                       "from prepared where split = 'train') where rn0 = 1")
     ext["tr_texts"] = f"select product_id, {O.BASIC} text from tr_uniq"
+    ext.update(O.encoder("ap", "tr_texts", "product_id", DIM))
+    ext["nw_texts"] = (f"select product_id, {O.BASIC} text from uniq where product_id not in "
+                       "(select product_id from tr_uniq)")
+    ext.update(O.encoder("nw", "nw_texts", "product_id", DIM, stats="ap"))
+    append_names = prep + ["uniq", "tr_uniq", "tr_texts", "ap_terms", "ap_n", "ap_idf", "ap_w",
+                           "ap_vec", "nw_texts", "nw_terms", "nw_w", "nw_vec"]
     sweep_names = test + ["uniq", "tq", "relevant"]
     unions = []
     for seq, cfg in enumerate(RUNS.SWEEP):
@@ -658,6 +684,10 @@ def _oracle() -> dict[str, str]:
                                 "\"Hits@10\", \"MRR\" from sw"),
         "best_run": O.cte(sweep_names, ext, "select seq, name, \"MRR\" from sw "
                           "order by \"MRR\" desc, seq limit 1"),
+        "index_append": O.cte(append_names, ext,
+                              "select product_id, bucket, round(w::DOUBLE, 6) w from ap_vec "
+                              "union all select product_id, bucket, round(w::DOUBLE, 6) w "
+                              "from nw_vec"),
         "knn_flat": O.cte(list(vec), ext, topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
         "ivf_assign": O.cte(ivf_base, ext, "select * from asg"),
         "knn_ivf": O.cte(ivf_base + ["prb2", "ivf2"], ext,
