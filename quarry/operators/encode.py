@@ -58,7 +58,8 @@ def fit(corpus_texts: DataFrame, id_col: str, text_col: str = "text",
 
 def encode(texts: DataFrame, model: HashedModel, id_col: str, text_col: str = "text",
            terms: DataFrame | None = None) -> DataFrame:
-    """(id, idx array<int>, val array<float>) for every input id."""
+    """(id, idx array<int>, val array<float>) for every input id; ids must
+    be unique in ``texts`` (one text per id)."""
     if terms is None:
         terms = term_counts(texts, id_col, text_col)
     tok = F.col("token")
@@ -78,7 +79,7 @@ def encode(texts: DataFrame, model: HashedModel, id_col: str, text_col: str = "t
                     .otherwise(F.lit(0.0)).cast("float")).alias("val"))
     # ids whose text has no token keep an empty (zero) vector
     empty = F.array().cast("array<int>"), F.array().cast("array<float>")
-    return (texts.select(id_col).distinct().join(vec, id_col, "left")
+    return (texts.select(id_col).join(vec, id_col, "left")
             .select(id_col, F.coalesce("idx", empty[0]).alias("idx"),
                     F.coalesce("val", empty[1]).alias("val")))
 

@@ -208,6 +208,8 @@ def flat_knn(queries: DataFrame, corpus: DataFrame, k: int, *, q_id: str = "quer
     smaller than k) are simply absent rows (F9)."""
     spark = queries.sparkSession
     vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
+    # written once: the size check and the collect read the same rows
+    queries = queries.select(q_id, *vec_cols).checkpoint()
     n_q, est = query_block_bytes(queries, kind, dim)
     n_blocks = max(1, math.ceil(est / max_block_bytes))
     schema = f"{q_id} long, {c_id} {c_type}, score double"
@@ -404,6 +406,8 @@ def collect_block(queries: DataFrame, q_id: str, kind: str, dim: int,
     """The query set as one QueryBlock when its estimated size is within
     the budget (checked by an aggregate before anything is collected);
     None otherwise."""
+    vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
+    queries = queries.select(q_id, *vec_cols).checkpoint()
     _, est = query_block_bytes(queries, kind, dim)
     if est > max_block_bytes:
         return None
