@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import materialize
+
 ROUND = 6
 # bytes of a broadcast query block (ids + vectors as float64)
 MAX_QUERY_BLOCK_BYTES = 256 << 20
@@ -209,7 +211,7 @@ def flat_knn(queries: DataFrame, corpus: DataFrame, k: int, *, q_id: str = "quer
     spark = queries.sparkSession
     vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
     # written once: the size check and the collect read the same rows
-    queries = queries.select(q_id, *vec_cols).checkpoint()
+    queries = materialize(queries.select(q_id, *vec_cols), "queries")
     n_q, est = query_block_bytes(queries, kind, dim)
     n_blocks = max(1, math.ceil(est / max_block_bytes))
     schema = f"{q_id} long, {c_id} {c_type}, score double"
@@ -407,7 +409,7 @@ def collect_block(queries: DataFrame, q_id: str, kind: str, dim: int,
     the budget (checked by an aggregate before anything is collected);
     None otherwise."""
     vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
-    queries = queries.select(q_id, *vec_cols).checkpoint()
+    queries = materialize(queries.select(q_id, *vec_cols), "queries")
     _, est = query_block_bytes(queries, kind, dim)
     if est > max_block_bytes:
         return None

@@ -19,7 +19,7 @@ from quarry.operators import analysis as AN
 from quarry.operators import cache as CACHE
 from quarry.plans import index_store as STORE
 from quarry.plans import runs as RUNS
-from quarry.session import scratch_path
+from quarry.session import materialize, scratch_path
 from quarry.operators import ivf, lsh
 from quarry.operators import rerank as rr
 from quarry.operators.knn import flat_knn
@@ -74,7 +74,7 @@ def _fresh(fn):
 
 
 def _prep_ck(spark, d):
-    return _memo(("prep", d), lambda: _prepared(spark, d).checkpoint())
+    return _memo(("prep", d), lambda: materialize(_prepared(spark, d), "prepared"))
 
 
 def _test(spark, d):

@@ -17,6 +17,7 @@ from quarry.operators import encode as enc
 from quarry.operators import rerank as rr
 from quarry.operators.knn import flat_knn
 from quarry.operators.prepare import unique_products
+from quarry.session import materialize as materialize_df
 
 RERANK_DEPTH = 50
 
@@ -46,22 +47,22 @@ def build_text_index(texts: DataFrame, dim: int = enc.DEFAULT_DIM,
                      materialize: bool = True) -> TextIndex:
     """Tokens -> corpus statistics -> vectors.
 
-    With ``materialize`` every table of the index is written once to the
-    shared checkpoint folder (``DataFrame.checkpoint``): the lineage is cut,
-    a lost executor re-reads files instead of re-running the preparation,
-    and the term table -- used by the idf fit, the encoder and BM25 -- is
-    computed once."""
+    With ``materialize`` every table of the index is written once as
+    Parquet to the shared checkpoint folder: the lineage is cut, a lost
+    executor re-reads files instead of re-running the preparation, the term
+    table -- used by the idf fit, the encoder and BM25 -- is computed once,
+    and later joins see real table sizes."""
     if materialize:
-        texts = texts.checkpoint()
+        texts = materialize_df(texts, "texts")
     terms = enc.term_counts(texts, "product_id")
     if materialize:
-        terms = terms.checkpoint()
+        terms = materialize_df(terms, "terms")
     model = enc.fit(texts, "product_id", dim=dim, terms=terms)
     if materialize:
-        model.idf = model.idf.checkpoint()
+        model.idf = materialize_df(model.idf, "idf")
     vectors = enc.encode(texts, model, "product_id", terms=terms)
     if materialize:
-        vectors = vectors.checkpoint()
+        vectors = materialize_df(vectors, "vectors")
     return TextIndex(texts=texts, vectors=vectors, model=model, terms=terms)
 
 

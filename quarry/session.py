@@ -68,3 +68,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     tables (index, caches, run tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/quarry/{name}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: the lineage is cut (a lost executor re-reads files), and later
+    plans get file statistics, column pruning and filter pushdown -- which
+    an RDD checkpoint does not give."""
+    import uuid
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
