@@ -311,13 +311,24 @@ class Probes:
     def __getstate__(self):
         d = dict(self.__dict__)
         d["_sub"] = {}
+        d["_used"] = 0
         return d
 
+    MEMO_BYTES = 64 << 20
+
     def sub(self, key, pos: np.ndarray) -> QueryBlock:
-        """Sub-block of the probing queries, memoised per task worker."""
-        if key not in self._sub:
-            self._sub[key] = self.qb.rows(pos)
-        return self._sub[key]
+        """Sub-block of the probing queries, memoised per Python worker up to
+        ``MEMO_BYTES`` (beyond it sub-blocks are rebuilt per batch)."""
+        hit = self._sub.get(key)
+        if hit is not None:
+            return hit
+        blk = self.qb.rows(pos)
+        size = (blk.dense.nbytes if blk.dense is not None else blk.idx.nbytes + blk.val.nbytes)
+        used = self.__dict__.setdefault("_used", 0)
+        if used + size <= self.MEMO_BYTES:
+            self._sub[key] = blk
+            self._used = used + size
+        return blk
 
     def nbytes(self) -> int:
         n = sum(len(v) for v in self.by_bucket.values())

@@ -18,6 +18,10 @@ from quarry.sources.schemas import TEXT_FIELDS
 RELEVANT_LABELS = ("E", "S")
 ALL_LABELS = ("E", "S", "C", "I")
 SAMPLE_SEED = 42
+# judgment columns plus the title (failure examples show it); the long
+# catalogue texts stay out of materialized judgment tables
+JUDGMENT_COLUMNS = ("example_id", "query_id", "query", "product_id", "product_locale",
+                    "esci_label", "small_version", "large_version", "split", "product_title")
 
 
 def join_catalog(judgments: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -74,11 +74,16 @@ def _fresh(fn):
 
 
 def _prep_ck(spark, d):
-    return _memo(("prep", d), lambda: materialize(_prepared(spark, d), "prepared"))
+    """The prepared judgments (lazy: the product texts are materialized by
+    the index build, the test judgments below)."""
+    return _memo(("prep", d), lambda: _prepared(spark, d))
 
 
 def _test(spark, d):
-    return P.split(_prep_ck(spark, d), "test")
+    """Test-split judgments without the long catalogue text columns, written
+    once per call and shared by queries, ground truth and relevance."""
+    return _memo(("test", d), lambda: materialize(
+        P.split(_prep_ck(spark, d), "test").select(*P.JUDGMENT_COLUMNS), "test"))
 
 
 def _index(spark, d, strategy="basic", dim=DIM):

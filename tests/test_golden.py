@@ -108,3 +108,16 @@ def test_failure_classes_golden(spark):
     fx = AN.failure_examples(rows, jr, p, texts, q).collect()
     assert [r["query_id"] for r in fx] == [4]
     assert fx[0]["expected"] == "T-e" and fx[0]["got"] == "text of x"
+
+
+def test_model_keys_and_display(spark):
+    """T11 short model name / cache key, T12 4-decimal display, T9 preview."""
+    df = spark.createDataFrame([("sentence-transformers/all-MiniLM-L6-v2", 0.48871, None),
+                                ("plain", 1.0, "abcdef")], "m string, x double, t string")
+    r = df.select(TX.model_short_name("m").alias("s"), TX.model_cache_key("m").alias("k"),
+                  TX.fmt4("x").alias("f"), TX.preview("t", 3).alias("p"),
+                  TX.preview("t", 3, "None").alias("p2")).collect()
+    assert (r[0]["s"], r[0]["k"], r[0]["f"]) == ("all-MiniLM-L6-v2",
+                                                  "sentence_transformers_all_MiniLM_L6_v2", "0.4887")
+    assert (r[1]["s"], r[1]["k"], r[1]["f"]) == ("plain", "plain", "1.0000")
+    assert (r[0]["p"], r[0]["p2"], r[1]["p"]) == ("", "None", "abc...")
