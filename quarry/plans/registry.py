@@ -449,6 +449,25 @@ def q_index_append(spark, d):
         "product_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("w"))
 
 
+def _passages(spark, d, dim=DIM):
+    """Passage retrieval over whole texts: corpus = every document, queries
+    = every benchmark passage (the whole passage text)."""
+    def build():
+        docs = tables.table(spark, d, "documents").select("doc_id", "text")
+        idx = S.build_text_index(docs, dim, id_col="doc_id")
+        q = tables.table(spark, d, "benchmark").select("item_id", "text")
+        qv, mapping = S.encode_queries(q, idx.model, q_id="item_id", text_col="text")
+        return idx, qv, mapping
+    return _memo(("passages", d, dim), build)
+
+
+def q_passage_knn(spark, d):
+    idx, qv, mapping = _passages(spark, d)
+    hits = flat_knn(qv, idx.vectors, K, q_id="tkey", c_id="doc_id", kind="sparse",
+                    dim=idx.model.dim, c_type="long")
+    return mapping.join(hits, "tkey").select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {
     "scan_judgments": q_scan_judgments,
     "scan_catalog": q_scan_catalog,
@@ -501,7 +520,27 @@ QUERIES = {
     "run_comparison": q_run_comparison,
     "best_run": q_best_run,
     "index_append": q_index_append,
+    "passage_knn": q_passage_knn,
 }
+def _passages(spark, d, dim=DIM):
+    """Passage retrieval over whole texts: corpus = every document, queries
+    = every benchmark passage (the whole passage text)."""
+    def build():
+        docs = tables.table(spark, d, "documents").select("doc_id", "text")
+        idx = S.build_text_index(docs, dim, id_col="doc_id")
+        q = tables.table(spark, d, "benchmark").select("item_id", "text")
+        qv, mapping = S.encode_queries(q, idx.model, q_id="item_id", text_col="text")
+        return idx, qv, mapping
+    return _memo(("passages", d, dim), build)
+
+
+def q_passage_knn(spark, d):
+    idx, qv, mapping = _passages(spark, d)
+    hits = flat_knn(qv, idx.vectors, K, q_id="tkey", c_id="doc_id", kind="sparse",
+                    dim=idx.model.dim, c_type="long")
+    return mapping.join(hits, "tkey").select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {k: _fresh(v) for k, v in QUERIES.items()}
 
 
@@ -649,6 +688,14 @@ def _oracle() -> dict[str, str]:
     ext.update(O.encoder("nw", "nw_texts", "product_id", DIM, stats="ap"))
     append_names = prep + ["uniq", "tr_uniq", "tr_texts", "ap_terms", "ap_n", "ap_idf", "ap_w",
                            "ap_vec", "nw_texts", "nw_terms", "nw_w", "nw_vec"]
+    ext["docs"] = "select doc_id, text from documents"
+    ext.update(O.encoder("dv", "docs", "doc_id", DIM))
+    ext["bq"] = "select item_id, text from benchmark"
+    ext.update(O.encoder("bv", "bq", "item_id", DIM, stats="dv"))
+    ext.update(O.flat_knn("bv_vec", "(select item_id from bq)", "dv_vec", "(select doc_id from docs)",
+                          "item_id", "doc_id", K, "pk"))
+    passage_names = ["docs", "dv_terms", "dv_n", "dv_idf", "dv_w", "dv_vec", "bq", "bv_terms",
+                     "bv_w", "bv_vec", "pk_dot", "pk_all", "pk"]
     sweep_names = test + ["uniq", "tq", "relevant"]
     unions = []
     for seq, cfg in enumerate(RUNS.SWEEP):
@@ -723,6 +770,8 @@ def _oracle() -> dict[str, str]:
                               "select product_id, bucket, round(w::DOUBLE, 6) w from ap_vec "
                               "union all select product_id, bucket, round(w::DOUBLE, 6) w "
                               "from nw_vec"),
+        "passage_knn": O.cte(passage_names, ext, "select item_id, rank, doc_id, round(score, 6) "
+                             "score from pk"),
         "knn_flat": O.cte(list(vec), ext, topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
         "ivf_assign": O.cte(ivf_base, ext, "select * from asg"),
         "knn_ivf": O.cte(ivf_base + ["prb2", "ivf2"], ext,

@@ -44,8 +44,9 @@ def product_texts(merged: DataFrame, strategy: str = "basic") -> DataFrame:
 
 
 def build_text_index(texts: DataFrame, dim: int = enc.DEFAULT_DIM,
-                     materialize: bool = True) -> TextIndex:
-    """Tokens -> corpus statistics -> vectors.
+                     materialize: bool = True, id_col: str = "product_id") -> TextIndex:
+    """Tokens -> corpus statistics -> vectors. ``texts`` is (id_col,
+    text) with unique ids; the index tables are keyed by ``id_col``.
 
     With ``materialize`` every table of the index is written once as
     Parquet to the shared checkpoint folder: the lineage is cut, a lost
@@ -54,13 +55,13 @@ def build_text_index(texts: DataFrame, dim: int = enc.DEFAULT_DIM,
     and later joins see real table sizes."""
     if materialize:
         texts = materialize_df(texts, "texts")
-    terms = enc.term_counts(texts, "product_id")
+    terms = enc.term_counts(texts, id_col)
     if materialize:
         terms = materialize_df(terms, "terms")
-    model = enc.fit(texts, "product_id", dim=dim, terms=terms)
+    model = enc.fit(texts, id_col, dim=dim, terms=terms)
     if materialize:
         model.idf = materialize_df(model.idf, "idf")
-    vectors = enc.encode(texts, model, "product_id", terms=terms)
+    vectors = enc.encode(texts, model, id_col, terms=terms)
     if materialize:
         vectors = materialize_df(vectors, "vectors")
     return TextIndex(texts=texts, vectors=vectors, model=model, terms=terms)
