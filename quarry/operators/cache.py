@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import encode as enc
+from quarry.session import materialize
 
 SCHEMA = "text_hash string, idx array<int>, val array<float>, model string"
 
@@ -40,7 +41,7 @@ def encode_cached(texts: DataFrame, model: enc.HashedModel, key: str, path: str,
     cached = _read(spark, path, key) if use_cache else spark.createDataFrame([], SCHEMA)
     misses = (keyed.join(cached.select("text_hash"), "text_hash", "left_anti")
               .select("text_hash", "text").dropDuplicates(["text_hash"]))
-    misses = misses.checkpoint()
+    misses = materialize(misses, "cache-misses")
     if not misses.isEmpty():
         fresh = enc.encode(misses, model, "text_hash")
         (fresh.select("text_hash", "idx", "val", F.lit(key).alias("model"))

@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.tokens import bucket_of, sign_of, tokens
+from quarry.session import spread
 
 DEFAULT_DIM = 4096
 
 
 def term_counts(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, token, tf) for every distinct token of every text."""
-    return (texts.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("token"))
+    return (spread(texts.select(id_col, text_col))
+            .select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("token"))
             .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 

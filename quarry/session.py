@@ -79,3 +79,28 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df):
+    """Before a CPU-heavy per-row stage (tokenising, numpy scoring): when
+    the input comes from fewer files than the cluster has cores and is
+    smaller than one split per core -- a small table read as one or two
+    splits -- spread it round-robin over all cores. Decided from file
+    metadata only (no job runs); a large input is left as it is."""
+    spark = df.sparkSession
+    if os.environ.get("QUARRY_NO_SPREAD"):
+        return df
+    par = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= par:
+        return df
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", str(128 << 20)).rstrip("b"))
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    if total < split * par:
+        return df.repartition(par)
+    return df
