@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import materialize, spread
+from quarry.session import materialize, widen_scan
 
 ROUND = 6
 # bytes of a broadcast query block (ids + vectors as float64)
@@ -215,7 +215,7 @@ def flat_knn(queries: DataFrame, corpus: DataFrame, k: int, *, q_id: str = "quer
     n_q, est = query_block_bytes(queries, kind, dim)
     n_blocks = max(1, math.ceil(est / max_block_bytes))
     schema = f"{q_id} long, {c_id} {c_type}, score double"
-    corpus_cols = spread(corpus.select(c_id, *vec_cols))
+    corpus_cols = widen_scan(corpus.select(c_id, *vec_cols))
     parts = []
     for b in range(n_blocks):
         qdf = queries if n_blocks == 1 else queries.where(
@@ -408,7 +408,7 @@ def probe_knn(probes: Probes, corpus: DataFrame, k: int, *, q_id: str, c_id: str
     cols = [c_id, *vec_cols] + (["bucket"] if mode == "ivf" else [])
     bc = spark.sparkContext.broadcast(probes)
     schema = f"{q_id} long, {c_id} {c_type}, score double"
-    cands = spread(corpus.select(*cols)).mapInPandas(
+    cands = widen_scan(corpus.select(*cols)).mapInPandas(
         partial(_probe_partition, bc=bc, k=k, q_id=q_id, c_id=c_id, kind=kind, mode=mode), schema)
     return rank_window(cands, k, q_id, c_id).select(
         q_id, "rank", c_id, F.round("score", ROUND).alias("score"))

@@ -329,7 +329,8 @@ def _errors(spark, d, n_sample=500):
     tset = _test(spark, d)       # = split test AND version AND locale of the joined tables
     sample = P.sample_queries(P.first_per_query(tset), n_sample).select("query_id", "query")
     idx = _index(spark, d)
-    preds = S.search_reranked(sample, idx, K)
+    # predictions feed classification, failure examples and coverage
+    preds = materialize(S.search_reranked(sample, idx, K), "predictions")
     rows = AN.classify(preds, tset, sample)
     return tset, sample, idx, preds, rows
 

@@ -104,6 +104,10 @@ def bm25_candidates(queries: DataFrame, index: TextIndex, depth: int = RERANK_DE
     """A13 over the first-stage candidates: adds the BM25 pair score."""
     if cands is None:
         cands = retrieve_candidates(queries, index, depth)
+    # the candidate list feeds three branches of the BM25 plan (pairs, keys,
+    # lengths): written once (queries x depth rows) instead of re-running
+    # the first-stage search in each branch
+    cands = materialize_df(cands, "candidates")
     return rr.bm25(cands, queries, index.terms, index.model.idf, index.model.n_docs,
                    index.total_tokens())
 

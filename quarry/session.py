@@ -104,3 +104,20 @@ def spread(df):
     if total < split * par:
         return df.repartition(par)
     return df
+
+
+# splits scanned by one kNN scan task when the corpus comes from many files
+SCAN_SPLITS_PER_TASK = 4
+
+
+def widen_scan(df):
+    """For a scan that emits a fixed number of rows per task (the kNN
+    kernels emit k rows per query per task), let each task read several
+    file splits: ``coalesce`` (narrow, no shuffle) by SCAN_SPLITS_PER_TASK
+    when the input has many files, cutting the merge shuffle by the same
+    factor. Small inputs are left alone (see ``spread``)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    n_files = len(df.inputFiles())
+    if n_files >= 2 * SCAN_SPLITS_PER_TASK * par:
+        return df.coalesce(max(2 * par, n_files // SCAN_SPLITS_PER_TASK))
+    return spread(df)
