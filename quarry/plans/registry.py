@@ -94,10 +94,12 @@ def _index(spark, d, strategy="basic", dim=DIM):
 
 
 def _vectors(spark, d):
-    """FIXTURES §3.3: unit vectors; queries vec_id < 50, corpus the rest."""
+    """Unit vectors of the whole ``embeddings`` table, used both as the
+    query set and as the corpus (every vector searches every vector; its
+    own row is its first neighbour)."""
     e = tables.table(spark, d, "embeddings").select(
         "vec_id", l2_normalize("embedding").alias("vec"), "label")
-    return e.where(F.col("vec_id") < 50), e.where(F.col("vec_id") >= 50)
+    return e, e
 
 
 # ----------------------------------------------------------------- queries
@@ -154,7 +156,7 @@ def q_knn_flat_block(spark, d):
     q, c = _vectors(spark, d)
     return flat_knn(q.withColumnRenamed("vec_id", "query_vec_id"),
                     c.withColumnRenamed("vec_id", "cand_id"), K, q_id="query_vec_id",
-                    c_id="cand_id", kind="dense", dim=64, c_type="long", max_block_bytes=6000)
+                    c_id="cand_id", kind="dense", dim=64, c_type="long", max_block_bytes=64000)
 
 
 def q_search_flat(spark, d):
@@ -582,8 +584,8 @@ def _oracle() -> dict[str, str]:
                "then x::DOUBLE / n else x::DOUBLE end)::FLOAT) vec from (select *, "
                "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) n "
                "from embeddings)"),
-        "evq": "select vec_id query_vec_id, vec from ev where vec_id < 50",
-        "evc": "select vec_id cand_id, label, vec from ev where vec_id >= 50",
+        "evq": "select vec_id query_vec_id, vec from ev",
+        "evc": "select vec_id cand_id, label, vec from ev",
         "evs": ("select query_vec_id, cand_id, " + dotf.format(a="q.vec", b="c.vec") +
                 " score from evq q cross join evc c"),
     }
@@ -614,7 +616,7 @@ def _oracle() -> dict[str, str]:
         "bk": ("select vec_id, (p // 4) * 16 + sum(case when v >= 0 then (1 << (p % 4)) else 0 "
                "end) bucket from prj group by vec_id, p // 4"),
         "lc": ("select distinct q.vec_id query_vec_id, c.vec_id cand_id from bk q join bk c "
-               "on q.bucket = c.bucket where q.vec_id < 50 and c.vec_id >= 50"),
+               "on q.bucket = c.bucket"),
         "ls": ("select s.* from lc join evs s on s.query_vec_id = lc.query_vec_id "
                "and s.cand_id = lc.cand_id"),
     }
