@@ -12,7 +12,6 @@ duplicating it; the stream's checkpoint lives in the shared folder.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.functions.text import product_text
 from quarry.operators import encode as enc
