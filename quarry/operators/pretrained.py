@@ -1,0 +1,134 @@
+"""Optional pretrained models in the encoder and pair-scorer slots (A10,
+A13): a sentence encoder (mean-pooled token states, optionally unit
+length) and a cross-encoder (one logit per (query, text) pair), both run
+as iterator pandas UDFs so a model loads once per Python worker and Arrow
+batches stream through it.
+
+A model folder holds ``model.onnx`` and ``tokenizer.json`` (an ONNX export
+and a Hugging Face fast-tokenizer file). onnxruntime and tokenizers are
+imported inside the workers only; without a model folder nothing here runs
+and the hashed encoder / BM25 remain the defaults. ``RUNNERS`` lets a test
+or another runtime register a loader under a scheme name.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed values of the model slot (the reference's settings):
+ENCODER_MAX_TOKENS = 256
+ENCODER_BATCH = 128
+RERANKER_MAX_TOKENS = 512
+RERANKER_BATCH = 64
+
+
+def _onnx_loader(model_dir: str):
+    import onnxruntime as ort
+    from tokenizers import Tokenizer
+
+    sess = ort.InferenceSession(f"{model_dir}/model.onnx", providers=["CPUExecutionProvider"])
+    tok = Tokenizer.from_file(f"{model_dir}/tokenizer.json")
+    names = {i.name for i in sess.get_inputs()}
+
+    def run(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        feeds = {"input_ids": ids, "attention_mask": mask}
+        if "token_type_ids" in names:
+            feeds["token_type_ids"] = np.zeros_like(ids)
+        return sess.run(None, feeds)[0]
+
+    return tok, run
+
+
+def _python_loader(spec: str):
+    """``py:<module>.<function>:<arg>`` -- a loader importable in the
+    workers (another runtime, or a test double)."""
+    import importlib
+    target, _, arg = spec.partition(":")
+    mod, _, fn = target.rpartition(".")
+    return getattr(importlib.import_module(mod), fn)(arg)
+
+
+# scheme -> loader(spec) -> (tokenizer, run(ids, mask) -> array)
+RUNNERS: dict[str, Callable] = {"onnx": _onnx_loader, "py": _python_loader}
+_LOADED: dict = {}
+
+
+def _load(model: str):
+    if model not in _LOADED:
+        scheme, _, path = model.partition(":")
+        if scheme not in RUNNERS:
+            raise ValueError(f"unknown model runner {scheme!r} (have {sorted(RUNNERS)})")
+        _LOADED[model] = RUNNERS[scheme](path)
+    return _LOADED[model]
+
+
+def _encode_batch(tok, run, texts: list[str], max_tokens: int, pairs=None):
+    tok.enable_truncation(max_tokens)
+    if tok.padding is None:            # keep the tokenizer's own pad token
+        tok.enable_padding()
+    enc = tok.encode_batch(list(zip(texts, pairs)) if pairs is not None else texts)
+    ids = np.array([e.ids for e in enc], dtype=np.int64)
+    mask = np.array([e.attention_mask for e in enc], dtype=np.int64)
+    return ids, mask, run(ids, mask)
+
+
+def sentence_encoder(model: str, normalize: bool = True, max_tokens: int = ENCODER_MAX_TOKENS,
+                     batch: int = ENCODER_BATCH):
+    """text column -> ``array<float>`` (mean pooling over real tokens)."""
+
+    @F.pandas_udf("array<float>")
+    def encode(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tok, run = _load(model)
+        for s in it:
+            out = []
+            texts = s.fillna("").tolist()
+            for i in range(0, len(texts), batch):
+                _, mask, hidden = _encode_batch(tok, run, texts[i:i + batch], max_tokens)
+                m = mask[..., None].astype(np.float64)
+                pooled = (hidden * m).sum(axis=1) / np.clip(m.sum(axis=1), 1, None)
+                if normalize:
+                    n = np.linalg.norm(pooled, axis=1, keepdims=True)
+                    pooled = np.where(n > 0, pooled / np.where(n > 0, n, 1), pooled)
+                out.extend(pooled.astype(np.float32))
+            yield pd.Series(out)
+
+    return encode
+
+
+def pair_scorer(model: str, max_tokens: int = RERANKER_MAX_TOKENS, batch: int = RERANKER_BATCH):
+    """(query, text) columns -> ``double`` (first logit of each pair)."""
+
+    @F.pandas_udf("double")
+    def score(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tok, run = _load(model)
+        for q, t in it:
+            qs, ts = q.fillna("").tolist(), t.fillna("").tolist()
+            out = []
+            for i in range(0, len(qs), batch):
+                _, _, logits = _encode_batch(tok, run, qs[i:i + batch], max_tokens,
+                                             pairs=ts[i:i + batch])
+                out.extend(np.asarray(logits, dtype=np.float64).reshape(len(logits), -1)[:, 0])
+            yield pd.Series(out)
+
+    return score
+
+
+def encode_texts(texts: DataFrame, model: str, id_col: str = "product_id",
+                 text_col: str = "text") -> DataFrame:
+    """(id, vec) with a pretrained sentence encoder -- the dense kernels
+    (flat, IVF, LSH with ``kind="dense"``) search these directly."""
+    return texts.select(id_col, sentence_encoder(model)(F.col(text_col)).alias("vec"))
+
+
+def score_pairs(pairs: DataFrame, queries: DataFrame, texts: DataFrame, model: str,
+                q_id: str = "query_id", c_id: str = "product_id") -> DataFrame:
+    """A13 with a cross-encoder: pairs (q_id, c_id, ...) + ``score``; a
+    product without text is scored against ''."""
+    j = (pairs.join(queries.select(q_id, F.col("query")), q_id)
+         .join(texts.select(c_id, "text"), c_id, "left"))
+    return j.withColumn("score", pair_scorer(model)(F.col("query"), F.coalesce("text", F.lit(""))))

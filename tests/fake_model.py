@@ -1,0 +1,30 @@
+"""A deterministic stand-in for a pretrained model (word-level tokenizer,
+embedding-lookup "network") used to test the model slot end to end."""
+
+import numpy as np
+
+WORDS = ["small", "ring", "red", "widget", "blue", "bolt", "hot", "gear", "brand", "type"]
+DIM = 6
+
+
+def vocab():
+    return {"[PAD]": 0, "[UNK]": 1, **{w: i + 2 for i, w in enumerate(WORDS)}}
+
+
+def table():
+    return np.random.default_rng(5).normal(size=(len(vocab()), DIM))
+
+
+def load(_arg):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+    tok = Tokenizer(models.WordLevel(vocab(), unk_token="[UNK]"))
+    tok.normalizer = normalizers.Lowercase()
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.enable_padding(pad_id=0, pad_token="[PAD]")
+    emb = table()
+
+    def run(ids, mask):
+        if _arg == "pairs":
+            return (emb[ids][..., 0] * mask).sum(axis=1, keepdims=True)
+        return emb[ids]
+    return tok, run

@@ -1,0 +1,35 @@
+"""The optional model slot (A10/A13) end to end with a stand-in model."""
+
+import os
+
+import numpy as np
+
+import fake_model
+from quarry.operators import pretrained as PT
+
+
+def _expected(text):
+    v, emb = fake_model.vocab(), fake_model.table()
+    ids = [v.get(w, 1) for w in text.lower().split()] or []
+    if not ids:
+        return None
+    x = emb[ids].mean(axis=0)
+    return x / np.linalg.norm(x)
+
+
+def test_sentence_encoder_and_pair_scorer(spark):
+    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(__file__), "fake_model.py"))
+    texts = spark.createDataFrame([("a", "small ring"), ("b", "Red widget brand"),
+                                   ("c", "unknown words here")], "product_id string, text string")
+    got = {r["product_id"]: np.asarray(r["vec"]) for r in
+           PT.encode_texts(texts, "py:fake_model.load:x").collect()}
+    for pid, t in [("a", "small ring"), ("b", "Red widget brand"), ("c", "unknown words here")]:
+        assert np.allclose(got[pid], _expected(t), atol=1e-6)
+    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "zz")], "query_id long, product_id string")
+    queries = spark.createDataFrame([(1, "small"), (2, "hot gear")], "query_id long, query string")
+    scored = {(r["query_id"], r["product_id"]): r["score"] for r in
+              PT.score_pairs(pairs, queries, texts, "py:fake_model.load:pairs").collect()}
+    emb, v = fake_model.table(), fake_model.vocab()
+    want = lambda q, t: sum(emb[v.get(w, 1), 0] for w in (q + " " + t).lower().split())  # noqa
+    assert abs(scored[(1, "a")] - want("small", "small ring")) < 1e-9
+    assert abs(scored[(2, "zz")] - want("hot gear", "")) < 1e-9
