@@ -13,6 +13,7 @@ from quarry.functions import text as TX
 from quarry.functions.vectors import l2_normalize
 from quarry.operators import analysis as AN
 from quarry.operators import cache as CACHE
+from quarry.operators import containment as CONT
 from quarry.operators import encode as enc
 from quarry.operators import ivf, lsh
 from quarry.operators import metrics as M
@@ -475,6 +476,28 @@ def _passages(spark, d, dim=DIM):
     return _memo(("passages", d, dim), build)
 
 
+def _passage_relevance(spark, d):
+    return _memo(("prel", d), lambda: materialize(CONT.containing_pairs(
+        tables.table(spark, d, "benchmark").select("item_id", "text"),
+        tables.table(spark, d, "documents").select("doc_id", "text")), "passage-relevance"))
+
+
+def q_passage_relevance(spark, d):
+    """Known-item relevance: (benchmark passage, document containing it)."""
+    return _passage_relevance(spark, d)
+
+
+def q_passage_eval(spark, d):
+    """Hits@K / MRR of exact passage retrieval against containment
+    relevance (passages contained in no document are skipped)."""
+    preds = q_passage_knn(spark, d).select(F.col("item_id").alias("query_id"), "rank",
+                                           F.col("doc_id").cast("string").alias("product_id"))
+    rel = _passage_relevance(spark, d).select(F.col("item_id").alias("query_id"),
+                                              F.col("doc_id").cast("string").alias("product_id"))
+    items = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return M.evaluate(preds, rel, items)
+
+
 def q_eval_ivf_rerank(spark, d):
     """The reference's best configuration: k-means IVF (256 cells, nprobe
     by the default rule), first 50 reranked by BM25, metrics (rows-only:
@@ -544,6 +567,8 @@ QUERIES = {
     "index_append": q_index_append,
     "passage_knn": q_passage_knn,
     "eval_ivf_rerank": q_eval_ivf_rerank,
+    "passage_relevance": q_passage_relevance,
+    "passage_eval": q_passage_eval,
 }
 def _passages(spark, d, dim=DIM):
     """Passage retrieval over whole texts: corpus = every document, queries
@@ -557,6 +582,28 @@ def _passages(spark, d, dim=DIM):
     return _memo(("passages", d, dim), build)
 
 
+def _passage_relevance(spark, d):
+    return _memo(("prel", d), lambda: materialize(CONT.containing_pairs(
+        tables.table(spark, d, "benchmark").select("item_id", "text"),
+        tables.table(spark, d, "documents").select("doc_id", "text")), "passage-relevance"))
+
+
+def q_passage_relevance(spark, d):
+    """Known-item relevance: (benchmark passage, document containing it)."""
+    return _passage_relevance(spark, d)
+
+
+def q_passage_eval(spark, d):
+    """Hits@K / MRR of exact passage retrieval against containment
+    relevance (passages contained in no document are skipped)."""
+    preds = q_passage_knn(spark, d).select(F.col("item_id").alias("query_id"), "rank",
+                                           F.col("doc_id").cast("string").alias("product_id"))
+    rel = _passage_relevance(spark, d).select(F.col("item_id").alias("query_id"),
+                                              F.col("doc_id").cast("string").alias("product_id"))
+    items = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return M.evaluate(preds, rel, items)
+
+
 def q_eval_ivf_rerank(spark, d):
     """The reference's best configuration: k-means IVF (256 cells, nprobe
     by the default rule), first 50 reranked by BM25, metrics (rows-only:
@@ -726,6 +773,14 @@ def _oracle() -> dict[str, str]:
                           "item_id", "doc_id", K, "pk"))
     passage_names = ["docs", "dv_terms", "dv_n", "dv_idf", "dv_w", "dv_vec", "bq", "bv_terms",
                      "bv_w", "bv_vec", "pk_dot", "pk_all", "pk"]
+    ext["prel"] = ("select b.item_id, d.doc_id from benchmark b join documents d "
+                   "on contains(d.text, b.text)")
+    ext["pe_pq"] = (
+        "select b.item_id query_id, coalesce(h.n_pred, 0) n_pred, h.first_hit from (select item_id "
+        "from bq where item_id in (select item_id from prel)) b left join (select p.item_id, "
+        "count(*) n_pred, min(case when r.doc_id is not null then p.rank end) first_hit from pk p "
+        "left join prel r on r.item_id = p.item_id and r.doc_id = p.doc_id group by p.item_id) h "
+        "on h.item_id = b.item_id")
     sweep_names = test + ["uniq", "tq", "relevant"]
     unions = []
     for seq, cfg in enumerate(RUNS.SWEEP):
@@ -800,6 +855,8 @@ def _oracle() -> dict[str, str]:
                               "select product_id, bucket, round(w::DOUBLE, 6) w from ap_vec "
                               "union all select product_id, bucket, round(w::DOUBLE, 6) w "
                               "from nw_vec"),
+        "passage_relevance": O.cte(["prel"], ext, "select * from prel"),
+        "passage_eval": O.cte(passage_names + ["prel", "pe_pq"], ext, _PASSAGE_METRICS),
         "passage_knn": O.cte(passage_names, ext, "select item_id, rank, doc_id, round(score, 6) "
                              "score from pk"),
         "knn_flat": O.cte(list(vec), ext, topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
@@ -857,6 +914,17 @@ _QUICK = """
 select round(coalesce(avg(case when fh is not null then 1e0 else 0e0 end), 0e0), 6) "Hits@10",
        count(*) n_queries from qh"""
 
+_PASSAGE_METRICS = """
+select round(coalesce(avg(case when n_pred >= 1 then (case when first_hit <= 1 then 1e0 else 0e0 end) end), 0e0), 6) "Hits@1",
+       round(coalesce(avg(case when n_pred >= 5 then (case when first_hit <= 5 then 1e0 else 0e0 end) end), 0e0), 6) "Hits@5",
+       round(coalesce(avg(case when n_pred >= 10 then (case when first_hit <= 10 then 1e0 else 0e0 end) end), 0e0), 6) "Hits@10",
+       round(coalesce(avg(case when first_hit <= 10 then 1e0 / first_hit else 0e0 end), 0e0), 6) "MRR",
+       count(*) "Num_Queries",
+       count(case when n_pred >= 1 then 1 end) n_at_1,
+       count(case when n_pred >= 5 then 1 end) n_at_5,
+       count(case when n_pred >= 10 then 1 end) n_at_10
+from pe_pq"""
+
 _BREAKDOWN = """
 , b as (select count(case when outcome = 'success' then 1 end) n_success,
         count(case when outcome = 'complete_miss' then 1 end) n_complete_miss,

@@ -48,3 +48,18 @@ def test_spread_and_widen_scan(spark, tmp_path):
     w = widen_scan(df)
     assert w.rdd.getNumPartitions() <= max(2 * par, df.rdd.getNumPartitions() // 4 + 1)
     assert w.count() == 10000
+
+
+def test_containment_matches_brute_force(spark):
+    from quarry.operators.containment import containing_pairs
+    docs = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"),
+            (2, "xxalpha beta gamma delta epsilon zeta eta theta iota kappayy tail"),
+            (3, "alpha beta gamma delta epsilon zeta eta theta iota"),
+            (4, "pre  alpha beta gamma delta  epsilon zeta eta theta iota kappa")]
+    passages = [(10, "alpha beta gamma delta epsilon zeta eta theta iota kappa"),
+                (11, "beta gamma delta"), (12, "one two")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    p = spark.createDataFrame(passages, "item_id long, text string")
+    got = {(r["item_id"], r["doc_id"]) for r in containing_pairs(p, d).collect()}
+    want = {(i, j) for i, pt in passages for j, dt in docs if pt in dt and len(pt.split()) >= 3}
+    assert got == want and (10, 2) in got and (10, 4) not in got
