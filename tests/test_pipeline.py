@@ -175,3 +175,11 @@ def test_oracle_subset_sf0001(spark):
         assert sorted(s.columns) == sorted(o.columns), name
         assert len(s) == len(o), name
         assert digest(s) == digest(o), name
+
+
+def test_run_with_lsh_index(spark):
+    """C6 with the approximate-index slot: a metrics row, metrics in range."""
+    j, c = tables.fixture_examples(spark, SF_SMALL), tables.fixture_products(spark, SF_SMALL)
+    cfg = RUNS.RunConfig("lsh", "enhanced", "lsh", True, dim=1024, lsh_bands=8, lsh_rows=4)
+    row = RUNS.evaluate(j, c, cfg).first()
+    assert row["name"] == "lsh" and 0.0 <= row["MRR"] <= 1.0 and row["Num_Queries"] > 0
