@@ -152,7 +152,7 @@ def _knn_flat_vec(q, c):
 def q_knn_flat_block(spark, d):
     """A1 with the query set split into several broadcast blocks (the
     path taken when the queries exceed the broadcast budget): ~520 bytes
-    per 64-d query, a 6 kB budget gives five blocks over the 50 queries."""
+    per 64-d query, so a 64 kB budget splits the query set into blocks."""
     q, c = _vectors(spark, d)
     return flat_knn(q.withColumnRenamed("vec_id", "query_vec_id"),
                     c.withColumnRenamed("vec_id", "cand_id"), K, q_id="query_vec_id",
@@ -826,7 +826,7 @@ def _oracle() -> dict[str, str]:
         "success_rank_hist": O.cte(err, ext, _RANKHIST),
         "failure_examples": O.cte(err + ["fex", "top1"], ext, _FAILEX),
         "result_coverage": O.cte(err, ext, "select count(distinct product_id) unique_products "
-                                 "from pr"),
+                                 "from pr where query_id in (select query_id from er)"),
         "error_insights": O.cte(err, ext, _INSIGHTS),
         "embed_cached": O.cte(prep + idx_names, ext,
                               "select product_id, bucket, round(w::DOUBLE, 6) w from pv_vec"),
@@ -962,7 +962,8 @@ order by md5('42-' || e.query_id::VARCHAR), e.query_id limit 20"""
 _INSIGHTS = """
 , m as (select count(*) n_misses, avg(query_words) mw from er where outcome = 'complete_miss'),
 b as (select count(case when low_rank then 1 end) n_low, count(case when outcome = 'complete_miss' then 1 end) n_cm from er),
-c as (select count(distinct product_id) unique_products from pr)
+c as (select count(distinct product_id) unique_products from pr
+      where query_id in (select query_id from er))
 select (m.n_misses > 0 and m.mw < 3) short_queries_fail, (b.n_low > b.n_cm) ranked_low, c.unique_products
 from m, b, c"""
 
