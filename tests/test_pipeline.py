@@ -158,7 +158,8 @@ def test_plan_shapes(spark):
 
 SUBSET = ["scan_judgments", "join_catalog", "text_basic", "text_enhanced", "embed_hashed",
           "knn_flat", "knn_ivf", "knn_lsh", "search_flat", "eval_metrics", "bm25_pairs",
-          "search_reranked", "error_breakdown_rows", "failure_examples", "sample_queries_n"]
+          "search_reranked", "error_breakdown_rows", "failure_examples", "sample_queries_n",
+          "result_coverage", "passage_relevance"]
 
 
 def test_oracle_subset_sf0001(spark):
