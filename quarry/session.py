@@ -8,6 +8,7 @@ partitions, checkpoint folder, broadcast threshold) always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,17 +50,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when
-    the session names none (tests, bench). On a cluster the folder comes
-    from ``spark.checkpoint.dir`` and must be on shared storage."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
+    Only a session on one machine (tests, bench) may leave it unset: it then
+    gets a folder of its own.  A cluster without one is an error, since other
+    executors cannot see a machine-local folder."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir()
-    local = tempfile.mkdtemp(prefix="quarry-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="quarry-ckpt-")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
