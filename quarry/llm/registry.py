@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import quarry
-from quarry.llm import langid, simhash
+from quarry.llm import decontam, langid, simhash
 from quarry.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,12 @@ def op10_simhash(spark, sf_dir):
 @query
 def op7_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_decontam(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"),
+                                  table(spark, sf_dir, "benchmark")).drop("th")
+
+
+ORACLE["op2_decontam"] = decontam.ORACLE
