@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import quarry
-from quarry.llm import decontam, langid, simhash
+from quarry.llm import decontam, langid, packing, simhash
 from quarry.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def op2_decontam(spark, sf_dir):
 
 
 ORACLE["op2_decontam"] = decontam.ORACLE
+
+
+@query
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
