@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import quarry
-from quarry.llm import decontam, langid, linededup, packing, simhash
+from quarry.llm import decontam, langid, linededup, packing, sharding, simhash, urlfilter
 from quarry.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,16 @@ def op6_linededup(spark, sf_dir):
 
 
 ORACLE["op6_linededup"] = linededup.ORACLE
+
+
+@query
+def op4_sharding(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=8)
+
+
+ORACLE["op4_sharding"] = sharding.ORACLE
+
+
+@query
+def op1_urlfilter(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
