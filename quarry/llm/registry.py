@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import quarry
-from quarry.llm import decontam, langid, linededup, packing, sharding, simhash, urlfilter
+from quarry.llm import decontam, langid, linededup, packing, secrets, sharding, simhash, urlfilter
 from quarry.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ ORACLE["op4_sharding"] = sharding.ORACLE
 @query
 def op1_urlfilter(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))

@@ -84,8 +84,8 @@ t AS (SELECT list(v ORDER BY b) AS tab FROM s WHERE i = 8),
 d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
 u AS (SELECT DISTINCT raw FROM d),
 c AS (SELECT raw, xor(list_reduce(list_concat([4294967295], list_transform(
-        range(octet_length(raw)), i -> CAST(('0x' || substr(hex(raw), 2 * i + 1, 2)) AS BIGINT))),
-        lambda a, x: xor(a // 256, tab[xor(a % 256, x) + 1])), 4294967295) AS crc FROM u, t),
+        range(octet_length(raw)), lambda i: CAST(('0x' || substr(hex(raw), 2 * i + 1, 2)) AS BIGINT))),
+        lambda a, x : xor(a // 256, tab[xor(a % 256, x) + 1])), 4294967295) AS crc FROM u, t),
 o AS (SELECT doc_id, octet_length(raw) + 1 AS size, crc FROM d JOIN c USING (raw)),
 w AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size, crc ROWS UNBOUNDED PRECEDING) - size AS b,
         row_number() OVER (ORDER BY doc_id, size, crc) AS r, sum(size) OVER () AS total FROM o),
