@@ -37,7 +37,8 @@ def _cut(n: Column, i: int, k: int) -> Column:
 
 
 def _segment_keys(line: Column, n: Column, edits: int, min_chars: int) -> Column:
-    """array<struct<probe boolean, k long>> of one line."""
+    """array<struct<probe boolean, k long>> of one line of ``n`` characters; null
+    elements are places outside it."""
     k = edits + 1
 
     def key(size: Column, i: int, at: Column) -> Column:
@@ -55,7 +56,7 @@ def _segment_keys(line: Column, n: Column, edits: int, min_chars: int) -> Column
                 end = at + _cut(size, i + 1, k) - _cut(size, i, k)
                 out.append(F.when((size >= min_chars) & (at >= 0) & (end <= n), F.struct(
                     F.lit(True).alias("probe"), key(size, i, at).alias("k"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    return F.array(*out)
 
 
 def _word_parity(line: Column) -> Column:
@@ -136,10 +137,10 @@ def near_pairs(lines: DataFrame, max_edits: int = 1, min_chars: int = 20,
                max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """(h1, h2, g1, g2): pairs of different lines (column ``line``) within
     ``max_edits`` edits, each once, either way round."""
-    n = F.char_length("line")
-    long = lines.select("line").where(n >= min_chars)
-    filed = long.select(F.xxhash64("line").alias("h1"),
-                        F.explode(_segment_keys(F.col("line"), n, max_edits, min_chars)).alias("x"))
+    # n is a column of its own: the keys use it many times
+    long = lines.select("line", F.char_length("line").alias("n")).where(F.col("n") >= min_chars)
+    keys = F.explode(_segment_keys(F.col("line"), F.col("n"), max_edits, min_chars)).alias("x")
+    filed = long.select(F.xxhash64("line").alias("h1"), keys).where("x is not null")
     meet = (filed.select("h1", "x.*").groupBy("k")
             .agg(F.min("h1").alias("a"), F.max("h1").alias("b"),
                  F.min("probe").alias("p"), F.max("probe").alias("q"))
@@ -147,8 +148,8 @@ def near_pairs(lines: DataFrame, max_edits: int = 1, min_chars: int = 20,
     meet = materialize(meet, "line-keys")
     if meet.count() <= max_broadcast_rows:
         meet = F.broadcast(meet)
-    held = (long.select("line", F.explode(_segment_keys(F.col("line"), n, max_edits, min_chars))
-                        .alias("x")).select("line", "x.*").join(meet, "k").distinct()
+    held = (long.select("line", keys).where("x is not null")
+            .select("line", "x.*").join(meet, "k").distinct()
             .select("k", "probe", "line", *_hashes(), _word_parity(F.col("line")).alias("sig")))
     held = materialize(held, "line-segments")
     index = held.where(~F.col("probe")).select("k", *(F.col(c).alias(f"i_{c}") for c in

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import quarry
-from quarry.llm import decontam, langid, linededup, packing, secrets, sharding, simhash, urlfilter
+from quarry.llm import decontam, embdedup, langid, linededup, packing, secrets, sharding, simhash, urlfilter
 from quarry.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op1_urlfilter(spark, sf_dir):
 @query
 def op9_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_embdedup(spark, sf_dir):
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
