@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import quarry
-from quarry.llm import decontam, embdedup, langid, linededup, packing, secrets, sharding, simhash, urlfilter
+from quarry.llm import decontam, embdedup, langid, linededup, packing, secrets, sharding, simhash, suffixdedup, urlfilter
 from quarry.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op9_secrets(spark, sf_dir):
 @query
 def op8_embdedup(spark, sf_dir):
     return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_suffixdedup(spark, sf_dir):
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
