@@ -89,3 +89,7 @@ def op8_embdedup(spark, sf_dir):
 @query
 def op3_suffixdedup(spark, sf_dir):
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE["op3_suffixdedup"] = suffixdedup.ORACLE
+ORACLE["op9_secrets"] = secrets.oracle()

@@ -171,3 +171,53 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias(id_col), *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(joined(F.col("base"), BASE).cast("binary"), 256).alias("base_sha256"),
         joined(F.concat("base", "more"), kinds).alias("spans"))
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def oracle() -> str:
+    """The scan in SQL: positions from the lengths of matches and gaps, entropy
+    counted anew in every window."""
+    names = _either_case("(password|passwd|secret|token|api_?key)")
+    base = (("assign", names + r"""["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+            ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+    runs = [(c.name, c.pattern + "+", 0, c.window) for c in CLASSES]
+
+    def found(kind: str, pattern: str, group: int, least: int) -> str:
+        quoted = pattern.replace("'", "''")
+        return (f"SELECT doc_id, '{kind}' AS kind, m[i] AS m, coalesce(list_sum(list_transform(g[1:i], "
+                "lambda s: length(s))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) "
+                f"AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, "
+                f"regexp_extract_all(t, '{quoted}') AS m, regexp_extract_all(t, '{quoted}', {group}) AS p, "
+                f"string_split_regex(t, '{quoted}') AS g FROM d)) WHERE length(p[i]) >= {least}")
+
+    allow = " OR ".join(f"regexp_matches(m, '{p}')" for p in ALLOW)
+    limit = " ".join(f"WHEN '{c.name}' THEN {c.window * (math.log2(c.window) - c.threshold)!r}" for c in CLASSES)
+    width = " ".join(f"WHEN '{c.name}' THEN {c.window}" for c in CLASSES)
+    order = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate([*BASE, *(c.name for c in CLASSES)]))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({" UNION ALL ".join(found(*x) for x in base)}),
+r AS (SELECT * FROM ({" UNION ALL ".join(found(*x) for x in runs)}) WHERE NOT ({allow})),
+w AS (SELECT *, substr(m, j + 1, n) AS win FROM (SELECT *, unnest(range(length(m) - n + 1)) AS j
+      FROM (SELECT *, CASE kind {width} END AS n FROM r))),
+h AS (SELECT doc_id, kind, start, j, n FROM w WHERE list_sum(list_transform(list_distinct(
+        string_split(win, '')), lambda c: (n - length(replace(win, c, ''))) * log2(n - length(replace(win, c, '')))))
+      <= CASE kind {limit} END + 1e-9),
+q AS (SELECT *, sum(CASE WHEN prev IS NULL OR j > prev + n THEN 1 ELSE 0 END)
+        OVER (PARTITION BY doc_id, kind, start ORDER BY j) AS run
+      FROM (SELECT *, lag(j) OVER (PARTITION BY doc_id, kind, start ORDER BY j) AS prev FROM h)),
+e AS (SELECT doc_id, kind, start + min(j) AS a, start + max(j) + any_value(n) AS z FROM q
+      GROUP BY doc_id, kind, start, run),
+s AS (SELECT doc_id, kind, start AS a, start + length(m) AS z FROM b UNION ALL SELECT * FROM e),
+o AS (SELECT *, CASE kind {order} END AS rank, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(z AS BIGINT) AS span
+      FROM s),
+x AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY a, rank) FILTER (rank < 3) AS base,
+        string_agg(span, ',' ORDER BY a, rank) AS spans FROM o GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN x USING (doc_id)
+"""

@@ -472,3 +472,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     return (rows.withColumn("x", rest("raw", "runs"))
             .select(F.col("id").alias(id_col), "x.n_bytes", "x.n_removed", "x.n_spans", "x.kept_sha256", "x.kept"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 400)) AS h FROM (
+      SELECT doc_id, x, unnest(range(length(x) // 2 - 199)) AS s FROM d WHERE length(x) >= 400)),
+p AS (SELECT doc_id, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT doc_id, s, sum(CASE WHEN prev IS NULL OR s > prev + 200 THEN 1 ELSE 0 END)
+        OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (
+      SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM p)),
+u AS (SELECT doc_id, run, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM u),
+t AS (SELECT doc_id, count(*) AS n, sum(b - a) AS removed, max(b) AS last,
+        string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS head
+      FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
