@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 # Fixed values of the text recipes (must equal the reference's settings):
 MAX_DESCRIPTION_LENGTH = 600
 MAX_BULLETS_LENGTH = 400
-MAX_TITLE_REPEATS = 2
-INCLUDE_COLOR = True
-INCLUDE_BRAND_PREFIX = True
 
 # Whitespace as Python's str.split()/strip() see it: ASCII whitespace,
 # the file/group/record/unit separators, NEL and Unicode separators.
@@ -43,15 +40,19 @@ def prefix(c, n: int) -> Column:
     return F.substring(_c(c), 1, n)
 
 
-def basic_text(title="product_title", brand="product_brand",
-               desc="product_description") -> Column:
+def _cut(c: Column, limit: int | None) -> Column:
+    return c if limit is None else prefix(c, limit)
+
+
+def basic_text(title="product_title", brand="product_brand", desc="product_description",
+               max_description: int | None = None) -> Column:
     """Title; "Brand: b" unless the brand occurs in the title; the
-    first 600 characters of the description. Null parts are skipped,
-    whitespace is kept as is."""
+    description (its first ``max_description`` characters, if given). Null
+    parts are skipped, whitespace is kept as is."""
     t, b, d = _c(title), _c(brand), _c(desc)
     brand_part = F.when(b.isNotNull() & ~icontains(F.coalesce(t, F.lit("")), b),
                         F.concat(F.lit("Brand: "), b))
-    return F.concat_ws(" ", t, brand_part, prefix(d, MAX_DESCRIPTION_LENGTH))
+    return F.concat_ws(" ", t, brand_part, _cut(d, max_description))
 
 
 def _present(c: Column) -> Column:
@@ -59,34 +60,34 @@ def _present(c: Column) -> Column:
 
 
 def enhanced_text(title="product_title", brand="product_brand", color="product_color",
-                  bullets="product_bullet_point", desc="product_description") -> Column:
+                  bullets="product_bullet_point", desc="product_description",
+                  max_bullets: int | None = None, max_description: int | None = None) -> Column:
     """Brand (if not in title), title, "Product: title", "Color: c"
-    (if not in title), "Brand: b", 400 chars of bullets, 600 of
-    description; each field stripped before truncation; null or blank
-    fields are absent; whitespace collapsed at the end."""
+    (if not in title), "Brand: b", bullets and description, cut to the given
+    numbers of characters, if any; each field stripped before that; null or
+    blank fields are absent; whitespace collapsed at the end."""
     t, b, c = strip_ws(title), strip_ws(brand), strip_ws(color)
     bl, d = strip_ws(bullets), strip_ws(desc)
     t_or_empty = F.coalesce(t, F.lit(""))
     parts = [
         F.when(_present(b) & ~icontains(t_or_empty, b), b),
         F.when(_present(t), t),
+        F.when(_present(t), F.concat(F.lit("Product: "), t)),
+        F.when(_present(c) & ~icontains(t_or_empty, c), F.concat(F.lit("Color: "), c)),
+        F.when(_present(b), F.concat(F.lit("Brand: "), b)),
+        F.when(_present(bl), _cut(bl, max_bullets)),
+        F.when(_present(d), _cut(d, max_description)),
     ]
-    if MAX_TITLE_REPEATS > 1:
-        parts.append(F.when(_present(t), F.concat(F.lit("Product: "), t)))
-    if INCLUDE_COLOR:
-        parts.append(F.when(_present(c) & ~icontains(t_or_empty, c), F.concat(F.lit("Color: "), c)))
-    if INCLUDE_BRAND_PREFIX:
-        parts.append(F.when(_present(b), F.concat(F.lit("Brand: "), b)))
-    parts.append(F.when(_present(bl), prefix(bl, MAX_BULLETS_LENGTH)))
-    parts.append(F.when(_present(d), prefix(d, MAX_DESCRIPTION_LENGTH)))
     return collapse_ws(F.concat_ws(" ", *parts))
 
 
-def product_text(strategy: str) -> Column:
+def product_text(strategy: str, limits: bool = False) -> Column:
+    """The text of a strategy; ``limits`` cuts it as the recipes do."""
+    d, b = (MAX_DESCRIPTION_LENGTH, MAX_BULLETS_LENGTH) if limits else (None, None)
     if strategy == "basic":
-        return basic_text()
+        return basic_text(max_description=d)
     if strategy == "enhanced":
-        return enhanced_text()
+        return enhanced_text(max_bullets=b, max_description=d)
     raise ValueError(f"unknown text strategy {strategy!r} (basic, enhanced)")
 
 

@@ -27,9 +27,3 @@ def l2_normalize(v) -> Column:
     n = F.sqrt(sq_norm(v))
     return F.when(n > 0, F.transform(v, lambda x: (x.cast("double") / n).cast("float"))) \
             .otherwise(as_float32(v))
-
-
-def dot(a, b) -> Column:
-    """Inner product in double (row-local; the kNN kernels use numpy)."""
-    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0).cast("double"), lambda acc, x: acc + x)

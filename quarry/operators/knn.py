@@ -1,15 +1,15 @@
 """Nearest-neighbour search kernels.
 
-Exact ("Flat") search: the query block -- size-checked, and split into
-several blocks when over budget -- is broadcast once; every corpus
-partition streams its Arrow batches through ``mapInPandas``, scores them
-against the whole block with numpy and keeps a running top-k per query.
-Only queries x k rows per partition leave the task; a window top-k
-(``WindowGroupLimit`` before and after the shuffle) merges partitions.
-No query x corpus pair ever becomes a row.
+One distributed path for every search. Queries and corpus rows carry a bucket
+(exact search: one bucket; IVF: the cell; LSH: the band key). A bucket's sides
+are cut into blocks of at most ``QUERY_ROWS`` and ``CORPUS_ROWS`` rows; each pair
+of blocks is one ``cogroup`` group that numpy scores in slices of bounded bytes,
+and only k rows per query leave it. Both sides of a hot bucket are split, nothing
+goes through the driver, and no query x corpus pair ever becomes a row.
 
-Ranking everywhere: rounded score (6 decimals) descending, then corpus id
-ascending, so results are reproducible across engines and partitionings.
+Ranking everywhere: the score rounded to 6 decimals (half away from zero, once,
+in the kernel) descending, then corpus id ascending, so results do not depend on
+the partitioning.
 
 Vector layouts
   sparse: ``idx array<int>`` ascending + ``val array<float>`` (hashed text)
@@ -27,15 +27,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import materialize, widen_scan
+from quarry.session import materialize
 
 ROUND = 6
-# bytes of a broadcast query block (ids + vectors as float64)
-MAX_QUERY_BLOCK_BYTES = 256 << 20
-# bytes of one score matrix slice inside a task
+# rows of one block of either side
+QUERY_ROWS = 2048
+CORPUS_ROWS = 16384
+# bytes of one dense corpus slice or score matrix inside a task
 SCORE_SLICE_BYTES = 32 << 20
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Half away from zero at 6 decimals, as SQL rounds."""
+    return np.sign(x) * np.floor(np.abs(x) * 10.0**ROUND + 0.5) / 10.0**ROUND
+
+
 @dataclass
 class QueryBlock:
     """Queries as numpy arrays: ids plus either a dense matrix or CSR."""
@@ -127,7 +133,7 @@ def score_matrix(qb: QueryBlock, dt: np.ndarray) -> np.ndarray:
 def topk_select(scores: np.ndarray, k: int) -> np.ndarray:
     """Boolean mask of the k best columns per row by (rounded score desc,
     column asc); columns must already be in corpus-id order."""
-    r = np.round(scores, ROUND)
+    r = rounded(scores)
     q, n = r.shape
     if n <= k:
         return np.ones_like(r, dtype=bool)
@@ -139,300 +145,102 @@ def topk_select(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def merge_topk(frames: list[pd.DataFrame], q_id: str, c_id: str, k: int) -> pd.DataFrame:
+    """Best k rows per query of frames whose scores are rounded."""
     if not frames:
         return pd.DataFrame({q_id: pd.Series(dtype="int64"), c_id: pd.Series(dtype="object"),
                              "score": pd.Series(dtype="float64")})
     df = pd.concat(frames, ignore_index=True)
-    df["_r"] = np.round(df["score"].to_numpy(), ROUND)
-    df = df.sort_values([q_id, "_r", c_id], ascending=[True, False, True], kind="stable")
-    return df.groupby(q_id, sort=False).head(k).drop(columns="_r")
+    df = df.sort_values([q_id, "score", c_id], ascending=[True, False, True], kind="stable")
+    return df.groupby(q_id, sort=False).head(k)
 
 
 def block_topk(qb: QueryBlock, corpus: pd.DataFrame, c_id: str, kind: str, k: int,
                q_id: str) -> pd.DataFrame:
-    """Top-k per query of one corpus batch (any size; sliced internally)."""
+    """Top-k per query of a corpus block, in slices bounded by the bytes of the
+    dense slice (rows x dim) and of the scores (rows x queries)."""
     corpus = corpus.sort_values(c_id, kind="stable").reset_index(drop=True)
     n = len(corpus)
     if n == 0 or qb.n == 0:
         return merge_topk([], q_id, c_id, k)
-    step = max(k, SCORE_SLICE_BYTES // (8 * max(qb.n, 1)))
-    frames = []
+    step = max(1, SCORE_SLICE_BYTES // (8 * max(qb.n, qb.dim, 1)))
+    best = merge_topk([], q_id, c_id, k)
     for s in range(0, n, step):
         part = corpus.iloc[s:s + step]
         sc = score_matrix(qb, corpus_matrix(part, kind, qb.dim))
         qi, cj = np.nonzero(topk_select(sc, k))
-        frames.append(pd.DataFrame({q_id: qb.ids[qi],
-                                    c_id: part[c_id].to_numpy()[cj],
-                                    "score": sc[qi, cj]}))
-    return merge_topk(frames, q_id, c_id, k)
-
-
-def _scan_partition(batches, bc, k, q_id, c_id, kind):
-    qb: QueryBlock = bc.value
-    frames = []
-    held = 0
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        frames.append(block_topk(qb, pdf, c_id, kind, k, q_id))
-        held += len(frames[-1])
-        if held > 8 * k * max(qb.n, 1):     # compact the running top-k
-            frames = [merge_topk(frames, q_id, c_id, k)]
-            held = len(frames[0])
-    if frames:
-        yield merge_topk(frames, q_id, c_id, k)
+        new = pd.DataFrame({q_id: qb.ids[qi], c_id: part[c_id].to_numpy()[cj],
+                            "score": rounded(sc[qi, cj])})
+        best = merge_topk([best, new] if len(best) else [new], q_id, c_id, k)
+    return best
 
 
 def rank_window(cands: DataFrame, k: int, q_id: str, c_id: str,
                 tie: str | None = None) -> DataFrame:
     """row_number top-k per query by (rounded score desc, tie asc)."""
-    tie = tie or c_id
-    w = Window.partitionBy(q_id).orderBy(F.round("score", ROUND).desc(), F.col(tie).asc())
+    w = Window.partitionBy(q_id).orderBy(F.col("score").desc(), F.col(tie or c_id).asc())
     return (cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
-def query_block_bytes(queries: DataFrame, kind: str, dim: int) -> tuple[int, int]:
-    """(rows, estimated broadcast bytes) of a query set -- one small job."""
-    if kind == "dense":
-        n = queries.count()
-        return n, n * (8 + 8 * dim)
-    row = queries.agg(F.count(F.lit(1)).alias("n"),
-                      F.coalesce(F.sum(F.size("idx")), F.lit(0)).alias("nnz")).first()
-    return int(row["n"]), int(row["n"]) * 16 + int(row["nnz"]) * 16
-
-
-def flat_knn(queries: DataFrame, corpus: DataFrame, k: int, *, q_id: str = "query_id",
-             c_id: str = "product_id", kind: str = "sparse", dim: int,
-             c_type: str = "string", max_block_bytes: int = MAX_QUERY_BLOCK_BYTES) -> DataFrame:
-    """A1: exact inner-product top-k. Returns (q_id, c_id, score, rank).
-
-    Queries must be keyed by a bigint id. Missing neighbours (corpus
-    smaller than k) are simply absent rows (F9)."""
-    spark = queries.sparkSession
-    vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
-    # written once: the size check and the collect read the same rows
-    queries = materialize(queries.select(q_id, *vec_cols), "queries")
-    n_q, est = query_block_bytes(queries, kind, dim)
-    n_blocks = max(1, math.ceil(est / max_block_bytes))
-    schema = f"{q_id} long, {c_id} {c_type}, score double"
-    corpus_cols = widen_scan(corpus.select(c_id, *vec_cols))
-    parts = []
-    for b in range(n_blocks):
-        qdf = queries if n_blocks == 1 else queries.where(
-            F.pmod(F.xxhash64(F.col(q_id)), F.lit(n_blocks)) == b)
-        pdf = qdf.select(q_id, *vec_cols).toPandas()
-        bc = spark.sparkContext.broadcast(QueryBlock.from_pandas(pdf, q_id, kind, dim))
-        parts.append(corpus_cols.mapInPandas(
-            partial(_scan_partition, bc=bc, k=k, q_id=q_id, c_id=c_id, kind=kind), schema))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    return rank_window(cands, k, q_id, c_id).select(
-        q_id, "rank", c_id, F.round("score", ROUND).alias("score"))
-
-
-# ------------------------------------------------------------ bucketed kNN
-# IVF cells and LSH band buckets share one kernel: the corpus is grouped by
-# bucket, each query is sent to the buckets it probes, and a cogroup scores
-# every (bucket, salt) group with numpy. A hot bucket -- up to a third of
-# the corpus -- is split into ``ceil(size / MAX_GROUP_ROWS)`` salted groups
-# and its probes are replicated per salt, so no group exceeds the budget.
-MAX_GROUP_ROWS = 50_000
-
-
 def _group_topk(key, corpus_pdf, probe_pdf, k, q_id, c_id, kind, dim):
     if len(corpus_pdf) == 0 or len(probe_pdf) == 0:
         return merge_topk([], q_id, c_id, k)
-    probe_pdf = probe_pdf.drop_duplicates(q_id)
-    qb = QueryBlock.from_pandas(probe_pdf, q_id, kind, dim)
+    qb = QueryBlock.from_pandas(probe_pdf.drop_duplicates(q_id), q_id, kind, dim)
     return block_topk(qb, corpus_pdf, c_id, kind, k, q_id)
 
 
-def salted(corpus_b: DataFrame, probes: DataFrame, c_id: str,
-           max_group_rows: int = MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Add ``salt`` to corpus rows and replicate probes over the salts of
-    their bucket. Bucket sizes come from one aggregate; the size table has
-    one row per bucket, so it is broadcast under a parameter bound."""
-    sizes = (corpus_b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-             .select("bucket", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(max_group_rows)))
-                     .cast("int").alias("nsalt")))
-    sizes = F.broadcast(sizes)
-    c = (corpus_b.join(sizes, "bucket")
-         .withColumn("salt", F.pmod(F.xxhash64(F.col(c_id)), F.col("nsalt")).cast("int"))
-         .drop("nsalt"))
-    p = (probes.join(sizes, "bucket")
-         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)))
-         .drop("nsalt"))
-    return c, p
+def _blocks(rows: DataFrame, own: str, n_own: str, n_other: str, names: tuple[str, str]) -> DataFrame:
+    """Each row's block of its own side, and a copy for every block of the other."""
+    return (rows.withColumn(names[0], F.pmod(F.xxhash64(F.col(own)), F.col(n_own)).cast("int"))
+            .withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
+            .drop(n_own, n_other))
 
 
-def bucketed_knn(corpus_b: DataFrame, probes: DataFrame, k: int, *, q_id: str, c_id: str,
-                 kind: str, dim: int, c_type: str = "string",
-                 max_group_rows: int = MAX_GROUP_ROWS, dedupe: bool = False) -> DataFrame:
-    """corpus_b (bucket, c_id, vectors...), probes (bucket, q_id, vectors...)
-    -> (q_id, rank, c_id, score): exact top-k among the probed buckets."""
-    vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
-    c, p = salted(corpus_b.select("bucket", c_id, *vec_cols),
-                  probes.select("bucket", q_id, *vec_cols), c_id, max_group_rows)
-    schema = f"{q_id} long, {c_id} {c_type}, score double"
-    cands = (c.groupBy("bucket", "salt").cogroup(p.groupBy("bucket", "salt"))
+def _paired(c: DataFrame, p: DataFrame, k: int, q_id: str, c_id: str, kind: str, dim: int,
+            c_type: str, dedupe: bool = False) -> DataFrame:
+    cb, pb = _blocks(c, c_id, "nc", "nq", ("cb", "qb")), _blocks(p, q_id, "nq", "nc", ("qb", "cb"))
+    key = ["bucket", "qb", "cb"]
+    cands = (cb.groupBy(*key).cogroup(pb.groupBy(*key))
              .applyInPandas(partial(_group_topk, k=k, q_id=q_id, c_id=c_id, kind=kind, dim=dim),
-                            schema))
+                            f"{q_id} long, {c_id} {c_type}, score double"))
     if dedupe:   # a corpus row reached through several buckets (LSH bands)
         cands = cands.dropDuplicates([q_id, c_id])
-    return rank_window(cands, k, q_id, c_id).select(
-        q_id, "rank", c_id, F.round("score", ROUND).alias("score"))
-
-
-# ------------------------------------------------------- probe-scan kNN
-# The same search without moving the corpus: the query block *and* its
-# probe lists (which queries probe which IVF cell / LSH band key) are
-# broadcast under the size budget; every corpus partition is scanned in
-# place, its rows are grouped by bucket inside the task and scored only
-# against the queries probing that bucket. Nothing is shuffled but the
-# k best rows per query and partition. Above the budget the salted
-# cogroup above is used instead.
-
-
-class Probes:
-    """Query block plus bucket -> query positions (IVF), or the LSH planes
-    and per-band key -> query positions."""
-
-    def __init__(self, qb: QueryBlock, by_bucket=None, planes=None, bands=0, rows=0,
-                 band_keys=None):
-        self.qb = qb
-        self.by_bucket = by_bucket or {}
-        self.planes = planes
-        self.bands = bands
-        self.rows = rows
-        self.band_keys = band_keys or []
-        self._sub = {}
-
-    def __getstate__(self):
-        d = dict(self.__dict__)
-        d["_sub"] = {}
-        d["_used"] = 0
-        return d
-
-    MEMO_BYTES = 64 << 20
-
-    def sub(self, key, pos: np.ndarray) -> QueryBlock:
-        """Sub-block of the probing queries, memoised per Python worker up to
-        ``MEMO_BYTES`` (beyond it sub-blocks are rebuilt per batch)."""
-        hit = self._sub.get(key)
-        if hit is not None:
-            return hit
-        blk = self.qb.rows(pos)
-        size = (blk.dense.nbytes if blk.dense is not None else blk.idx.nbytes + blk.val.nbytes)
-        used = self.__dict__.setdefault("_used", 0)
-        if used + size <= self.MEMO_BYTES:
-            self._sub[key] = blk
-            self._used = used + size
-        return blk
-
-    def nbytes(self) -> int:
-        n = sum(len(v) for v in self.by_bucket.values())
-        n += sum(len(v) for d in self.band_keys for v in d.values())
-        q = self.qb
-        vec = q.dense.nbytes if q.dense is not None else q.idx.nbytes + q.val.nbytes
-        return 8 * n + vec + q.ids.nbytes
-
-
-def group_positions(keys: np.ndarray):
-    """(key, ascending positions) for each distinct key."""
-    order = np.argsort(keys, kind="stable")
-    uniq, start, count = np.unique(keys[order], return_index=True, return_counts=True)
-    for u, s, c in zip(uniq, start, count):
-        yield int(u), order[s:s + c]
-
-
-def lsh_keys(mat: np.ndarray, planes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(n x bands) band keys of the rows of ``mat`` (n x dim)."""
-    bits = (mat @ planes >= 0).astype(np.int64).reshape(len(mat), bands, rows)
-    return bits @ (1 << np.arange(rows)).astype(np.int64)
-
-
-def _scored(sub: QueryBlock, dt: np.ndarray, ids: np.ndarray, cols: np.ndarray, k: int,
-            q_id: str, c_id: str) -> list[pd.DataFrame]:
-    out = []
-    step = max(k, SCORE_SLICE_BYTES // (8 * max(sub.n, 1)))
-    for s in range(0, len(cols), step):
-        cc = cols[s:s + step]
-        sc = score_matrix(sub, dt[:, cc])
-        qi, cj = np.nonzero(topk_select(sc, k))
-        out.append(pd.DataFrame({q_id: sub.ids[qi], c_id: ids[cc][cj], "score": sc[qi, cj]}))
-    return out
+    return rank_window(cands, k, q_id, c_id).select(q_id, "rank", c_id, "score")
 
 
-def _probe_partition(batches, bc, k, q_id, c_id, kind, mode):
-    pr: Probes = bc.value
-    frames, held = [], 0
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        pdf = pdf.sort_values(c_id, kind="stable").reset_index(drop=True)
-        dt = corpus_matrix(pdf, kind, pr.qb.dim)
-        ids = pdf[c_id].to_numpy()
-        if mode == "ivf":
-            groups = [((None, b), pr.by_bucket.get(b), cols)
-                      for b, cols in group_positions(pdf["bucket"].to_numpy())]
-        else:
-            keys = lsh_keys(dt.T, pr.planes, pr.bands, pr.rows)
-            groups = [((band, key), pr.band_keys[band].get(key), cols)
-                      for band in range(pr.bands)
-                      for key, cols in group_positions(keys[:, band])]
-        for gkey, pos, cols in groups:
-            if pos is None or len(pos) == 0:
-                continue
-            for f in _scored(pr.sub(gkey, pos), dt, ids, cols, k, q_id, c_id):
-                frames.append(f)
-                held += len(f)
-        if held > 8 * k * max(pr.qb.n, 1):
-            frames = [_dedupe_topk(frames, q_id, c_id, k)]
-            held = len(frames[0])
-    if frames:
-        yield _dedupe_topk(frames, q_id, c_id, k)
-
-
-def _dedupe_topk(frames, q_id, c_id, k):
-    df = pd.concat(frames, ignore_index=True).drop_duplicates([q_id, c_id])
-    return merge_topk([df], q_id, c_id, k)
-
-
-def probe_knn(probes: Probes, corpus: DataFrame, k: int, *, q_id: str, c_id: str, kind: str,
-              mode: str, c_type: str = "string") -> DataFrame:
-    """Broadcast-probe search (mode ``ivf``: corpus carries ``bucket``;
-    mode ``lsh``: band keys are computed in the scan)."""
-    spark = corpus.sparkSession
-    vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
-    cols = [c_id, *vec_cols] + (["bucket"] if mode == "ivf" else [])
-    bc = spark.sparkContext.broadcast(probes)
-    schema = f"{q_id} long, {c_id} {c_type}, score double"
-    cands = widen_scan(corpus.select(*cols)).mapInPandas(
-        partial(_probe_partition, bc=bc, k=k, q_id=q_id, c_id=c_id, kind=kind, mode=mode), schema)
-    return rank_window(cands, k, q_id, c_id).select(
-        q_id, "rank", c_id, F.round("score", ROUND).alias("score"))
-
-
-def collect_block(queries: DataFrame, q_id: str, kind: str, dim: int,
-                  max_block_bytes: int = MAX_QUERY_BLOCK_BYTES) -> QueryBlock | None:
-    """The query set as one QueryBlock when its estimated size is within
-    the budget (checked by an aggregate before anything is collected);
-    None otherwise."""
+def flat_knn(queries: DataFrame, corpus: DataFrame, k: int, *, q_id: str = "query_id",
+             c_id: str = "product_id", kind: str = "sparse", dim: int, c_type: str = "string",
+             query_rows: int = QUERY_ROWS, corpus_rows: int = CORPUS_ROWS) -> DataFrame:
+    """A1: exact inner-product top-k. Returns (q_id, rank, c_id, score).
+
+    Queries must be keyed by a bigint id. Missing neighbours (corpus
+    smaller than k) are simply absent rows (F9). Blocks are smaller than
+    ``corpus_rows`` where that gives every core one."""
     vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
     queries = materialize(queries.select(q_id, *vec_cols), "queries")
-    _, est = query_block_bytes(queries, kind, dim)
-    if est > max_block_bytes:
-        return None
+    corpus = materialize(corpus.select(c_id, *vec_cols), "corpus")
+    n_q, n_c = queries.count(), corpus.count()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    nq = max(1, math.ceil(n_q / query_rows))
+    nc = max(1, math.ceil(n_c / corpus_rows), min(cores, n_c // 256))
+    sizes = [F.lit(0).alias("bucket"), F.lit(nq).alias("nq"), F.lit(nc).alias("nc")]
+    return _paired(corpus.select("*", *sizes), queries.select("*", *sizes), k, q_id, c_id, kind,
+                   dim, c_type)
+
+
+def bucketed_knn(corpus_b: DataFrame, probes: DataFrame, k: int, *, q_id: str, c_id: str,
+                 kind: str, dim: int, c_type: str = "string", query_rows: int = QUERY_ROWS,
+                 corpus_rows: int = CORPUS_ROWS, dedupe: bool = False) -> DataFrame:
+    """corpus_b (bucket, c_id, vectors...), probes (bucket, q_id, vectors...)
+    -> (q_id, rank, c_id, score): exact top-k among the probed buckets. The join
+    with the sizes of the probed buckets drops every other corpus row."""
     vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
-    return QueryBlock.from_pandas(queries.select(q_id, *vec_cols).toPandas(), q_id, kind, dim)
+    corpus_b = materialize(corpus_b.select("bucket", c_id, *vec_cols), "bucketed")
+    probes = materialize(probes.select("bucket", q_id, *vec_cols), "probes")
 
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
 
-def query_matrix(qb: QueryBlock) -> np.ndarray:
-    """Dense (Q x dim) form of a block (driver side, bounded block only)."""
-    if qb.dense is not None:
-        return qb.dense
-    m = np.zeros((qb.n, qb.dim))
-    rows = np.repeat(np.arange(qb.n), np.diff(qb.indptr))
-    m[rows, qb.idx] = qb.val
-    return m
+    sizes = materialize(blocks(corpus_b, corpus_rows, "nc").join(
+        blocks(probes, query_rows, "nq"), "bucket"), "bucket-sizes")
+    return _paired(corpus_b.join(sizes, "bucket"), probes.join(sizes, "bucket"), k, q_id, c_id,
+                   kind, dim, c_type, dedupe)

@@ -70,7 +70,9 @@ def test_set(merged_unfiltered: DataFrame, version: str = "small", locale: str =
 def unique_products(merged: DataFrame) -> DataFrame:
     """D1 + F5: one row per product, from its first judgment (lowest
     example_id), id plus the five text columns."""
-    first = F.min_by(F.struct(*[F.col(c) for c in TEXT_FIELDS]), F.col("example_id"))
+    fields = F.struct(*[F.col(c) for c in TEXT_FIELDS])
+    # a catalogue that repeats a key repeats example_id: the texts break the tie
+    first = F.min_by(fields, F.struct("example_id", F.xxhash64(fields)))
     return (merged.select("product_id", "example_id", *TEXT_FIELDS)
             .groupBy("product_id").agg(first.alias("f"))
             .select("product_id", *[F.col(f"f.{c}").alias(c) for c in TEXT_FIELDS]))
@@ -85,7 +87,10 @@ def test_queries(test: DataFrame) -> DataFrame:
 def first_per_query(df: DataFrame, key: str = "query_id", order: str = "example_id") -> DataFrame:
     """First non-null value of every other column per key."""
     cols = [c for c in df.columns if c not in (key,)]
-    aggs = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in cols]
+    # ties of ``order`` (repeated catalogue keys) are broken by the whole row
+    row = F.xxhash64(*[F.col(c) for c in cols])
+    aggs = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(order), row))).alias(c)
+            for c in cols]
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 

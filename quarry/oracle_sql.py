@@ -14,7 +14,8 @@ F = {}
 
 F["products"] = """
 select cast(p_partkey as varchar(20)) product_id,
-       case when p_partkey % 10 = 0 then 'es' when p_partkey % 10 = 5 then 'jp' else 'us' end product_locale,
+       case when p_partkey % 101 = 17 then 'gb' when p_partkey % 10 = 0 then 'es'
+            when p_partkey % 10 = 5 then 'jp' else 'us' end product_locale,
        case when p_partkey % 97 = 3 then null else p_name end product_title,
        case when p_partkey % 7 = 0 then null when p_partkey % 11 = 0 then ''
             when p_partkey % 13 = 0 then p_name else p_brand end product_brand,
@@ -22,12 +23,10 @@ select cast(p_partkey as varchar(20)) product_id,
        case when p_partkey % 4 = 2 then null
             else concat('  Type ', p_type, '  size ', cast(p_size as varchar(10)), ' ') end product_bullet_point,
        d.text product_description
-from part left join documents d on d.doc_id = p_partkey and d.doc_id % 3 <> 0
-where p_partkey % 101 <> 17"""
+from part left join documents d on d.doc_id = p_partkey"""
 
 F["ex_l"] = """
-select l_orderkey, l_partkey, min(l_linenumber) ln from lineitem
-where l_orderkey % 20 in (0, 7, 13) group by 1, 2"""
+select l_orderkey, l_partkey, min(l_linenumber) ln from lineitem group by 1, 2"""
 
 F["ex_h"] = """
 select ex_l.*, p.p_name, split_part(p.p_name,' ',1) adj, split_part(p.p_name,' ',2) noun,
@@ -42,7 +41,7 @@ select l_orderkey * 1000 + rn example_id, l_orderkey query_id, qn query,
        case when l_partkey % 10 = 0 then 'es' when l_partkey % 10 = 5 then 'jp' else 'us' end product_locale,
        case when p_name = qn then 'E' when noun = qo then 'S' when adj = qa then 'C' else 'I' end esci_label,
        case when l_orderkey % 3 = 0 then 0 else 1 end small_version, 1 large_version,
-       case l_orderkey % 20 when 0 then 'test' when 7 then 'train' else 'dev' end split
+       case when l_orderkey % 20 = 0 then 'test' when l_orderkey % 20 <= 12 then 'train' else 'dev' end split
 from ex_h join ex_a on q = l_orderkey"""
 
 F["merged"] = """
@@ -78,12 +77,18 @@ def collapse(x: str) -> str:
     return strip(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
 
 
-BASIC = ("concat_ws(' ', product_title, case when product_brand is not null and not "
-         "contains(lower(coalesce(product_title, '')), lower(product_brand)) "
-         "then 'Brand: ' || product_brand end, substring(product_description, 1, 600))")
+def _basic(limit: int | None) -> str:
+    d = "product_description" if limit is None else f"substring(product_description, 1, {limit})"
+    return ("concat_ws(' ', product_title, case when product_brand is not null and not "
+            "contains(lower(coalesce(product_title, '')), lower(product_brand)) "
+            f"then 'Brand: ' || product_brand end, {d})")
 
 
-def _enhanced() -> str:
+BASIC, BASIC_CUT = _basic(None), _basic(600)
+
+
+def _enhanced(bullets: int | None = None, description: int | None = None) -> str:
+    cut = lambda x, n: x if n is None else f"substring({x}, 1, {n})"
     t, b, c = strip("product_title"), strip("product_brand"), strip("product_color")
     bl, d = strip("product_bullet_point"), strip("product_description")
     tl = f"lower(coalesce({t}, ''))"
@@ -93,16 +98,18 @@ def _enhanced() -> str:
         f"case when coalesce({t}, '') <> '' then 'Product: ' || {t} end",
         f"case when coalesce({c}, '') <> '' and not contains({tl}, lower({c})) then 'Color: ' || {c} end",
         f"case when coalesce({b}, '') <> '' then 'Brand: ' || {b} end",
-        f"case when coalesce({bl}, '') <> '' then substring({bl}, 1, 400) end",
-        f"case when coalesce({d}, '') <> '' then substring({d}, 1, 600) end",
+        f"case when coalesce({bl}, '') <> '' then {cut(bl, bullets)} end",
+        f"case when coalesce({d}, '') <> '' then {cut(d, description)} end",
     ]
     return collapse("concat_ws(' ', " + ", ".join(parts) + ")")
 
 
-ENHANCED = _enhanced()
+ENHANCED, ENHANCED_CUT = _enhanced(), _enhanced(400, 600)
 
 F["texts_basic"] = f"select product_id, {BASIC} text from uniq"
 F["texts_enhanced"] = f"select product_id, {ENHANCED} text from uniq"
+F["texts_basic_cut"] = f"select product_id, {BASIC_CUT} text from uniq"
+F["texts_enhanced_cut"] = f"select product_id, {ENHANCED_CUT} text from uniq"
 
 
 def tokens(x: str) -> str:

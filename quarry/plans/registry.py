@@ -5,6 +5,8 @@ text, hashed encoder 4096-d, k = 10."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 import quarry
@@ -94,12 +96,12 @@ def _index(spark, d, strategy="basic", dim=DIM):
 
 
 def _vectors(spark, d):
-    """Unit vectors of the whole ``embeddings`` table, used both as the
-    query set and as the corpus (every vector searches every vector; its
-    own row is its first neighbour)."""
+    """Unit vectors of ``embeddings``: the rows whose id is divisible by 20 are
+    the queries, all rows are the corpus (a query's own row is its first
+    neighbour)."""
     e = tables.table(spark, d, "embeddings").select(
         "vec_id", l2_normalize("embedding").alias("vec"), "label")
-    return e, e
+    return e.where(F.col("vec_id") % 20 == 0), e
 
 
 # ----------------------------------------------------------------- queries
@@ -124,11 +126,11 @@ def q_test_queries(spark, d):
 
 
 def q_text_basic(spark, d):
-    return S.product_texts(_prepared(spark, d), "basic")
+    return S.product_texts(_prepared(spark, d), "basic", limits=True)
 
 
 def q_text_enhanced(spark, d):
-    return S.product_texts(_prepared(spark, d), "enhanced")
+    return S.product_texts(_prepared(spark, d), "enhanced", limits=True)
 
 
 def q_embed_hashed(spark, d):
@@ -150,13 +152,12 @@ def _knn_flat_vec(q, c):
 
 
 def q_knn_flat_block(spark, d):
-    """A1 with the query set split into several broadcast blocks (the
-    path taken when the queries exceed the broadcast budget): ~520 bytes
-    per 64-d query, so a 64 kB budget splits the query set into blocks."""
+    """A1 in many small blocks of both sides."""
     q, c = _vectors(spark, d)
     return flat_knn(q.withColumnRenamed("vec_id", "query_vec_id"),
                     c.withColumnRenamed("vec_id", "cand_id"), K, q_id="query_vec_id",
-                    c_id="cand_id", kind="dense", dim=64, c_type="long", max_block_bytes=64000)
+                    c_id="cand_id", kind="dense", dim=64, c_type="long", query_rows=128,
+                    corpus_rows=128)
 
 
 def q_search_flat(spark, d):
@@ -204,14 +205,17 @@ def q_ivf_short_lists(spark, d):
 
 
 def q_ivf_train(spark, d):
-    """A2/P3 on the product text vectors: k-means cells, rows-only check."""
+    """A2/P3 on the product text vectors: cells, cells of unit norm, vectors and
+    vectors in exactly one cell."""
     idx = _index(spark, d)
     cent = ivf.train(idx.vectors, "product_id", "sparse", DIM, nlist=ivf.NLIST)
     index = ivf.assign(idx.vectors, cent, "product_id", "sparse", DIM)
-    sizes = ivf.cell_sizes(index)
-    return cent.select("cell", F.round(F.sqrt(F.aggregate(
-        "vec", F.lit(0.0).cast("double"), lambda a, x: a + x * x)), 6).alias("norm")) \
-        .join(sizes, "cell", "left").select("cell", "norm", F.coalesce("n", F.lit(0)).alias("n"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x * x))
+    cells = cent.agg(F.count("*").alias("n_cells"),
+                     F.count_if(F.abs(norm - 1) < 1e-4).alias("n_unit"))
+    own = index.groupBy("product_id").agg(F.countDistinct("bucket").alias("n"))
+    found = own.agg(F.count("*").alias("n_vectors"), F.count_if(F.col("n") == 1).alias("n_in_one"))
+    return cells.join(found)   # one row each
 
 
 def q_knn_lsh(spark, d):
@@ -219,7 +223,7 @@ def q_knn_lsh(spark, d):
     return lsh.search(q.select(F.col("vec_id").alias("query_vec_id"), "vec"),
                       c.select(F.col("vec_id").alias("cand_id"), "vec"), K,
                       q_id="query_vec_id", c_id="cand_id", kind="dense", dim=64,
-                      bands=8, rows=4, c_type="long")
+                      bands=16, rows=4, c_type="long")
 
 
 def q_l2_normalize(spark, d):
@@ -379,7 +383,7 @@ def _cache_runs(spark, d):
     prep = _prep_ck(spark, d)
     idx = _index(spark, d)
     path = _scratch(spark, "embed-cache")
-    key = CACHE.model_key(idx.model, f"n{idx.model.n_docs}")
+    key = CACHE.model_key(idx.model, STORE.corpus_hash(idx.texts))
     train_texts = S.product_texts(P.split(prep, "train"), "basic")
     CACHE.encode_cached(train_texts, idx.model, key, path)
     vectors, misses = CACHE.encode_cached(idx.texts, idx.model, key, path)
@@ -449,17 +453,17 @@ def q_index_append(spark, d):
     """A3 as a stream: an index fitted on the products judged in the train
     split; every other product arrives as new catalogue files and is
     appended (three micro-batches) with the same, unretrained model."""
-    from quarry.streaming.index_append import append_stream, read_vectors
+    from quarry.streaming.index_append import append_stream, read_part
     prep = _prep_ck(spark, d)
     train_u = P.unique_products(P.split(prep, "train"))
     idx = S.build_text_index(train_u.select("product_id", TX.basic_text().alias("text")), DIM)
     root = _scratch(spark, "append")
     new_rows = P.unique_products(prep).join(train_u.select("product_id"), "product_id", "left_anti")
     new_rows.repartition(3).write.parquet(f"{root}/source")
-    q = append_stream(spark, f"{root}/source", f"{root}/vectors", idx.model, f"{root}/_stream",
-                      max_files_per_trigger=1)
+    q = append_stream(spark, f"{root}/source", f"{root}/index", idx.model, f"{root}/_stream",
+                      known=idx.texts, max_files_per_trigger=1)
     q.awaitTermination()
-    allv = idx.vectors.unionByName(read_vectors(spark, f"{root}/vectors"))
+    allv = idx.vectors.unionByName(read_part(spark, f"{root}/index", "vectors"))
     return enc.encode_long(allv, "product_id").select(
         "product_id", "bucket", F.round(F.col("w").cast("double"), 6).alias("w"))
 
@@ -499,10 +503,35 @@ def q_passage_eval(spark, d):
 
 
 def q_eval_ivf_rerank(spark, d):
-    """The reference's best configuration: k-means IVF (256 cells, nprobe
-    by the default rule), first 50 reranked by BM25, metrics (rows-only:
-    k-means has no SQL form)."""
-    return RUNS.evaluate(_judg(spark, d), _cat(spark, d), RUNS.BEST)
+    """The reference's best configuration (IVF, first 50 reranked by BM25) with
+    every cell probed, which must give the metrics of the exact search."""
+    cfg = replace(RUNS.BEST, nprobe=ivf.NLIST)
+    return RUNS.evaluate(_judg(spark, d), _cat(spark, d), cfg)
+
+
+def q_ivf_index_roundtrip(spark, d):
+    """S8/S9 with cells: train, save by cell, find, load, search every cell."""
+    idx = _index(spark, d)
+    idx.centroids = ivf.train(idx.vectors, "product_id", "sparse", DIM)
+    idx.cells = ivf.assign(idx.vectors, idx.centroids, "product_id", "sparse", DIM)
+    root, cfg = _scratch(spark, "ivf-index"), {"index_type": "ivf", "dim": DIM}
+    fp = STORE.fingerprint(cfg, STORE.corpus_hash(idx.texts))
+    STORE.save_index(idx, f"{root}/{fp}", cfg, fp)
+    loaded = STORE.load_index(spark, STORE.find_index(spark, root, fp))
+    qv, mapping = S.encode_queries(P.test_queries(_test(spark, d)), loaded.model)
+    hits = ivf.search(qv, loaded.cells, loaded.centroids, K, q_id="tkey", c_id="product_id",
+                      kind="sparse", dim=DIM, nprobe=ivf.NLIST)
+    return mapping.join(hits, "tkey").select("query_id", "rank", "product_id", "score")
+
+
+def q_model_names(spark, d):
+    """T11 on the cache's model column: family, dimension, file-name key."""
+    _, _, _, path = _cache_runs(spark, d)
+    name = F.concat(F.lit("quarry/"), F.regexp_extract("model", "^(hashed-[0-9]+)", 1))
+    return CACHE.inventory(spark, path).select(
+        F.split_part(TX.model_short_name(name), F.lit("-"), F.lit(1)).alias("family"),
+        F.split_part(TX.model_short_name(name), F.lit("-"), F.lit(2)).alias("dim"),
+        TX.model_cache_key(TX.model_short_name(name)).alias("key"), "entries")
 
 
 def q_passage_knn(spark, d):
@@ -567,56 +596,11 @@ QUERIES = {
     "index_append": q_index_append,
     "passage_knn": q_passage_knn,
     "eval_ivf_rerank": q_eval_ivf_rerank,
+    "ivf_index_roundtrip": q_ivf_index_roundtrip,
+    "model_names": q_model_names,
     "passage_relevance": q_passage_relevance,
     "passage_eval": q_passage_eval,
 }
-def _passages(spark, d, dim=DIM):
-    """Passage retrieval over whole texts: corpus = every document, queries
-    = every benchmark passage (the whole passage text)."""
-    def build():
-        docs = tables.table(spark, d, "documents").select("doc_id", "text")
-        idx = S.build_text_index(docs, dim, id_col="doc_id")
-        q = tables.table(spark, d, "benchmark").select("item_id", "text")
-        qv, mapping = S.encode_queries(q, idx.model, q_id="item_id", text_col="text")
-        return idx, qv, mapping
-    return _memo(("passages", d, dim), build)
-
-
-def _passage_relevance(spark, d):
-    return _memo(("prel", d), lambda: materialize(CONT.containing_pairs(
-        tables.table(spark, d, "benchmark").select("item_id", "text"),
-        tables.table(spark, d, "documents").select("doc_id", "text")), "passage-relevance"))
-
-
-def q_passage_relevance(spark, d):
-    """Known-item relevance: (benchmark passage, document containing it)."""
-    return _passage_relevance(spark, d)
-
-
-def q_passage_eval(spark, d):
-    """Hits@K / MRR of exact passage retrieval against containment
-    relevance (passages contained in no document are skipped)."""
-    preds = q_passage_knn(spark, d).select(F.col("item_id").alias("query_id"), "rank",
-                                           F.col("doc_id").cast("string").alias("product_id"))
-    rel = _passage_relevance(spark, d).select(F.col("item_id").alias("query_id"),
-                                              F.col("doc_id").cast("string").alias("product_id"))
-    items = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    return M.evaluate(preds, rel, items)
-
-
-def q_eval_ivf_rerank(spark, d):
-    """The reference's best configuration: k-means IVF (256 cells, nprobe
-    by the default rule), first 50 reranked by BM25, metrics (rows-only:
-    k-means has no SQL form)."""
-    return RUNS.evaluate(_judg(spark, d), _cat(spark, d), RUNS.BEST)
-
-
-def q_passage_knn(spark, d):
-    idx, qv, mapping = _passages(spark, d)
-    hits = flat_knn(qv, idx.vectors, K, q_id="tkey", c_id="doc_id", kind="sparse",
-                    dim=idx.model.dim, c_type="long")
-    return mapping.join(hits, "tkey").select("item_id", "rank", "doc_id", "score")
-
 
 QUERIES = {k: _fresh(v) for k, v in QUERIES.items()}
 
@@ -645,7 +629,7 @@ def _oracle() -> dict[str, str]:
                "then x::DOUBLE / n else x::DOUBLE end)::FLOAT) vec from (select *, "
                "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) n "
                "from embeddings)"),
-        "evq": "select vec_id query_vec_id, vec from ev",
+        "evq": "select vec_id query_vec_id, vec from ev where vec_id % 20 = 0",
         "evc": "select vec_id cand_id, label, vec from ev",
         "evs": ("select query_vec_id, cand_id, " + dotf.format(a="q.vec", b="c.vec") +
                 " score from evq q cross join evc c"),
@@ -670,7 +654,7 @@ def _oracle() -> dict[str, str]:
     ivf_base = list(vec) + ["cent", "asg"]
     lsh_f = {
         "pl": ("select p, j, case when ('0x' || substr(md5(p::VARCHAR || '-' || j::VARCHAR), "
-               "1, 1))::INTEGER % 2 = 0 then 1e0 else -1e0 end s from range(32) a(p), "
+               "1, 1))::INTEGER % 2 = 0 then 1e0 else -1e0 end s from range(64) a(p), "
                "range(64) b(j)"),
         "evx": "select vec_id, unnest(vec) x, unnest(range(len(vec))) j from ev",
         "prj": "select vec_id, p, sum(x::DOUBLE * s) v from evx join pl using (j) group by all",
@@ -790,6 +774,9 @@ def _oracle() -> dict[str, str]:
         sweep_names += names
         unions.append(f"select {seq} seq, '{cfg.name}' name, * from s{seq}_m")
     ext["sw"] = " union all ".join(unions)
+    fr, names = O.eval_pipeline("eb", RUNS.BEST.text_strategy, RUNS.BEST.dim, True, K, RUNS.BEST.depth)
+    ext.update(fr)
+    eval_names = test + ["uniq", "tq", "relevant"] + names
     sweep_names.append("sw")
     err = rr_names + ["tset", "fpq", "smp5", "lab", "st", "smpl", "pr", "hh", "er"]
     return {
@@ -798,9 +785,9 @@ def _oracle() -> dict[str, str]:
         "join_catalog": O.cte(base, body="select * from merged"),
         "filter_version_locale": O.cte(prep, body="select * from prepared"),
         "test_queries": O.cte(test + ["tq"], body="select * from tq"),
-        "text_basic": O.cte(prep + ["uniq", "texts_basic"], body="select * from texts_basic"),
-        "text_enhanced": O.cte(prep + ["uniq", "texts_enhanced"],
-                               body="select * from texts_enhanced"),
+        "text_basic": O.cte(prep + ["uniq", "texts_basic_cut"], body="select * from texts_basic_cut"),
+        "text_enhanced": O.cte(prep + ["uniq", "texts_enhanced_cut"],
+                               body="select * from texts_enhanced_cut"),
         "embed_hashed": O.cte(prep + idx_names, ext,
                               "select product_id, bucket, round(w::DOUBLE, 6) w from pv_vec"),
         "split_counts": O.cte(prep, body="select split, count(*) n_rows, count(distinct query_id) "
@@ -855,6 +842,17 @@ def _oracle() -> dict[str, str]:
                               "select product_id, bucket, round(w::DOUBLE, 6) w from ap_vec "
                               "union all select product_id, bucket, round(w::DOUBLE, 6) w "
                               "from nw_vec"),
+        "ivf_train": O.cte(prep + idx_names, ext,
+                           "select least(256, count(distinct v.product_id)) n_cells, "
+                           "least(256, count(distinct v.product_id)) n_unit, count(distinct "
+                           "t.product_id) n_vectors, count(distinct t.product_id) n_in_one "
+                           "from texts_basic t left join pv_vec v on v.product_id = t.product_id"),
+        "eval_ivf_rerank": O.cte(eval_names, ext, "select 'Best (reranker)' name, * from eb_m"),
+        "ivf_index_roundtrip": O.cte(srch, ext, topk.format(q="query_id", c="product_id",
+                                                            src="preds_all", k=K)),
+        "model_names": O.cte(prep + ["uniq", "texts_basic"], ext,
+                             "select 'hashed' family, '4096' dim, 'hashed_4096' \"key\", "
+                             "count(distinct sha256(text)) entries from texts_basic"),
         "passage_relevance": O.cte(["prel"], ext, "select * from prel"),
         "passage_eval": O.cte(passage_names + ["prel", "pe_pq"], ext, _PASSAGE_METRICS),
         "passage_knn": O.cte(passage_names, ext, "select item_id, rank, doc_id, round(score, 6) "

@@ -29,6 +29,8 @@ class TextIndex:
     model: enc.HashedModel
     terms: DataFrame      # product_id, token, tf (corpus statistics, reused by BM25)
     n_tokens: int | None = None
+    cells: DataFrame | None = None      # product_id, idx, val, bucket (IVF)
+    centroids: DataFrame | None = None  # cell, vec (IVF)
 
     def total_tokens(self) -> int:
         """Corpus length in tokens (for BM25's average document length)."""
@@ -37,9 +39,10 @@ class TextIndex:
         return self.n_tokens
 
 
-def product_texts(merged: DataFrame, strategy: str = "basic") -> DataFrame:
-    """T1/T2 over the de-duplicated products of the prepared data."""
-    expr = product_text(strategy)          # validates the strategy first
+def product_texts(merged: DataFrame, strategy: str = "basic", limits: bool = False) -> DataFrame:
+    """T1/T2 over the de-duplicated products of the prepared data, whole
+    unless the recipes' ``limits`` are asked for."""
+    expr = product_text(strategy, limits)  # validates the strategy first
     return unique_products(merged).select("product_id", expr.alias("text"))
 
 
@@ -72,10 +75,10 @@ def encode_queries(queries: DataFrame, model: enc.HashedModel, q_id: str = "quer
     """Distinct query texts are encoded once. Returns (vectors keyed
     by ``tkey``, mapping q_id -> tkey)."""
     uniq, mapping = enc.distinct_texts(queries, q_id, text_col)
-    # a bigint key per distinct text for the kernels
-    uniq = uniq.withColumn("tkey", F.xxhash64("text_hash"))
+    # a bigint key per distinct text for the kernels; written, so that it is fixed
+    uniq = materialize_df(uniq.withColumn("tkey", F.monotonically_increasing_id()), "query-texts")
     vec = enc.encode(uniq, model, "tkey", text_col)
-    return vec, mapping.withColumn("tkey", F.xxhash64("text_hash")).select(q_id, "tkey")
+    return vec, mapping.join(uniq.select("text_hash", "tkey"), "text_hash").select(q_id, "tkey")
 
 
 def search_flat(queries: DataFrame, index: TextIndex, k: int = 10) -> DataFrame:

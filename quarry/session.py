@@ -84,42 +84,17 @@ def materialize(df, name: str):
 
 
 def spread(df):
-    """Before a CPU-heavy per-row stage (tokenising, numpy scoring): when
-    the input comes from fewer files than the cluster has cores and is
-    smaller than one split per core -- a small table read as one or two
-    splits -- spread it round-robin over all cores. Decided from file
-    metadata only (no job runs); a large input is left as it is."""
+    """Before a CPU-heavy stage (tokenising, numpy scoring) over a written table
+    of few files: as many partitions as cores, where the table is smaller than
+    one split a core. A large table is left as it is. Only for tables that are
+    read directly; nothing runs to decide."""
     spark = df.sparkSession
-    if os.environ.get("QUARRY_NO_SPREAD"):
-        return df
     par = spark.sparkContext.defaultParallelism
     files = df.inputFiles()
     if not files or len(files) >= par:
         return df
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", str(128 << 20)).rstrip("b"))
-    jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    if total < split * par:
-        return df.repartition(par)
-    return df
-
-
-# splits scanned by one kNN scan task when the corpus comes from many files
-SCAN_SPLITS_PER_TASK = 4
-
-
-def widen_scan(df):
-    """For a scan that emits a fixed number of rows per task (the kNN
-    kernels emit k rows per query per task), let each task read several
-    file splits: ``coalesce`` (narrow, no shuffle) by SCAN_SPLITS_PER_TASK
-    when the input has many files, cutting the merge shuffle by the same
-    factor. Small inputs are left alone (see ``spread``)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    n_files = len(df.inputFiles())
-    if n_files >= 2 * SCAN_SPLITS_PER_TASK * par:
-        return df.coalesce(max(2 * par, n_files // SCAN_SPLITS_PER_TASK))
-    return spread(df)
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    total = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(par) if total < split * par else df

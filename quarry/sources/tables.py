@@ -47,18 +47,19 @@ def _locale(key):
 def fixture_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue view over ``part`` ⟕ ``documents`` (FIXTURES §3.1).
 
-    Nulls, blank brand, brand inside the title, padded bullets and missing
-    products are produced by fixed residue rules on the part key.
+    Every part and every document is read. Nulls, blank brand, brand inside the
+    title and padded bullets are produced by fixed residue rules on the part
+    key; some products are listed under another locale than they are judged in,
+    so their judgments find no catalogue row.
     """
-    part = table(spark, sf_dir, "part").where(F.col("p_partkey") % 101 != 17)
-    docs = (table(spark, sf_dir, "documents")
-            .where(F.col("doc_id") % 3 != 0)
-            .select(F.col("doc_id"), F.col("text").alias("product_description")))
+    part = table(spark, sf_dir, "part")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id"), F.col("text").alias("product_description"))
     k = F.col("p_partkey")
     joined = part.join(docs, part.p_partkey == docs.doc_id, "left")
     return joined.select(
         k.cast("string").alias("product_id"),
-        _locale(k).alias("product_locale"),
+        F.when(k % 101 == 17, "gb").otherwise(_locale(k)).alias("product_locale"),
         F.when(k % 97 == 3, F.lit(None)).otherwise(F.col("p_name")).alias("product_title"),
         F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, F.lit(""))
          .when(k % 13 == 0, F.col("p_name")).otherwise(F.col("p_brand")).alias("product_brand"),
@@ -80,7 +81,6 @@ def fixture_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     needs one shuffle on the order key instead of a self-join.
     """
     li = (table(spark, sf_dir, "lineitem")
-          .where((F.col("l_orderkey") % 20).isin(0, 7, 13))
           .groupBy("l_orderkey", "l_partkey")
           .agg(F.min("l_linenumber").alias("ln")))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -103,5 +103,5 @@ def fixture_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("adj") == F.col("qa"), "C").otherwise("I").alias("esci_label"),
         F.when(ok % 3 == 0, 0).otherwise(1).cast("int").alias("small_version"),
         F.lit(1).cast("int").alias("large_version"),
-        F.when(ok % 20 == 0, "test").when(ok % 20 == 7, "train").otherwise("dev").alias("split"),
+        F.when(ok % 20 == 0, "test").when(ok % 20 <= 12, "train").otherwise("dev").alias("split"),
     )
