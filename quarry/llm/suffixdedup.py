@@ -12,7 +12,8 @@ input, so the suffix array is sparse, without losing a repeat:
 2. Classes.  Anchors with an equal gram meet, sorted by the hash of their context.
    A context that occurs twice is a repeat as a whole.  A gram with one context
    is done; only where contexts differ (the ends of copied passages) is one
-   suffix per context needed.
+   suffix per context needed.  Grams that would fill half a partition are salted;
+   one row per context and salt is then joined up again.
 3. Suffix sort.  Tasks sort these suffixes into runs, front-code them (shared
    prefix length, rest) and exchange them by gram.  Each receiver merges its runs
    with a loser tree that carries the common prefix with the last output: it
@@ -142,11 +143,11 @@ def _anchors(batch, texts, length: int, gram: int):
 
 
 def _classes(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (gram, ctx): those that repeat as a whole (kind 0), and
-    one suffix (kind 1) for each context of a gram that has several; ``lone``
-    says that the context occurs once.  A carried row at most waits for the next
-    batch, so a frequent gram streams through."""
-    cols = ["gram", "ctx", "t1", "t2", "pos", "left", "right"]
+    """Rows sorted by (gram, salt, ctx): those that repeat as a whole (kind 0),
+    and one suffix (kind 1) for each context of a gram that has several, or of a
+    salted gram (salt above 0); ``lone`` says that the context occurs once.  One
+    row at most waits for the next batch, so a frequent gram streams through."""
+    cols = ["gram", "salt", "ctx", "t1", "t2", "pos", "left", "right"]
     tail = None      # the last row of the batch before
     tail_same = False  # its context was there already
     tail_first = True  # its context is the first of its gram
@@ -155,11 +156,11 @@ def _classes(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
             continue
         if tail is not None:
             pdf = pd.concat([tail, pdf], ignore_index=True)
-        g, c = pdf["gram"].to_numpy(), pdf["ctx"].to_numpy()
-        same_g = np.concatenate([[False], g[1:] == g[:-1]])
-        same = np.concatenate([[False], (g[1:] == g[:-1]) & (c[1:] == c[:-1])])
+        g, salt, c = (pdf[x].to_numpy() for x in ("gram", "salt", "ctx"))
+        same_g = np.concatenate([[False], (g[1:] == g[:-1]) & (salt[1:] == salt[:-1])])
+        same = same_g & np.concatenate([[False], c[1:] == c[:-1]])
         before = same.copy()
-        first_ctx = ~same_g | False
+        first_ctx = ~same_g
         if tail is not None:
             before[0], first_ctx[0] = tail_same, tail_first
         # first context of its gram: carried along equal contexts
@@ -172,12 +173,13 @@ def _classes(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         twice = (before | after)[:n]
         # a class needs a suffix if its gram has another class
         last_of_class = ~after
-        several = ~first_of_class | (other_next & last_of_class)
+        several = ~first_of_class | (other_next & last_of_class) | (salt > 0)
         pick = (last_of_class & several)[:n]
         yield _rows(pdf.iloc[:n], twice, pick, length, cols)
         tail, tail_same, tail_first = pdf.iloc[n:], bool(before[n]), bool(first_of_class[n])
     if tail is not None:
-        yield _rows(tail, np.array([tail_same]), np.array([not tail_first]), length, cols)
+        pick = (not tail_first) | (tail["salt"].to_numpy() > 0)
+        yield _rows(tail, np.array([tail_same]), pick, length, cols)
 
 
 def _rows(pdf: pd.DataFrame, twice: np.ndarray, pick: np.ndarray, length: int, cols) -> pd.DataFrame:
@@ -362,54 +364,99 @@ def _joined_runs(spans: str) -> Column:
     return F.aggregate(F.sort_array(spans), empty, add)
 
 
-def _with_text(docs: DataFrame, small: DataFrame, how: str, max_broadcast_rows: int) -> DataFrame:
-    """``docs`` joined to rows by text; these are broadcast only if few."""
-    return docs.join(F.broadcast(small) if small.count() <= max_broadcast_rows else small,
-                     ["t1", "t2"], how)
+def _with_text(docs: DataFrame, small: DataFrame, how: str, rows: int, max_broadcast_rows: int) -> DataFrame:
+    """``docs`` joined to a table by text; it is broadcast only if it has few
+    ``rows`` in all its arrays."""
+    return docs.join(F.broadcast(small) if rows <= max_broadcast_rows else small, ["t1", "t2"], how)
 
 
-def repeats(texts: DataFrame, length: int = 200, gram: int = 48, max_group: int = 20_000,
-            max_broadcast_rows: int = 500_000) -> DataFrame:
-    """(t1, t2, runs) of texts (t1, t2, raw) that have a repeated string."""
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _slices(pdf: pd.DataFrame, size: int = 4 * CHUNK) -> Iterator[pd.DataFrame]:
+    """Parts of a batch that hold about ``size`` bytes of text."""
+    part = np.cumsum([len(t) for t in pdf["raw"]]) // size
+    for _, g in pdf.groupby(part, sort=False):
+        yield g
+
+
+def _anchor_rows(texts: DataFrame, length: int, gram: int, hot: list[int], salts: int) -> DataFrame:
+    """Anchors of all texts; those of the ``hot`` grams are dealt to ``salts``."""
+    frequent = np.array(hot, np.int64)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (part for batch in batches for part in _slices(batch)):
             i, pos, g, c, left, right = anchors([bytes(t) for t in pdf["raw"]], length, gram)
-            yield pd.DataFrame({"t1": pdf["t1"].to_numpy()[i], "t2": pdf["t2"].to_numpy()[i], "pos": pos,
-                                "gram": g.view(np.int64), "ctx": c.view(np.int64),
-                                "left": left, "right": right})
+            t1, g = pdf["t1"].to_numpy()[i], g.view(np.int64)
+            salt = np.where(np.isin(g, frequent), 1 + (t1 ^ pos * 0x9E3779B1) % salts, 0)
+            yield pd.DataFrame({"t1": t1, "t2": pdf["t2"].to_numpy()[i], "pos": pos, "gram": g, "salt": salt,
+                                "ctx": c.view(np.int64), "left": left, "right": right})
+
+    return texts.mapInPandas(
+        find, "t1 long, t2 long, pos long, gram long, salt int, ctx long, left short, right short")
+
+
+def _frequent_grams(texts: DataFrame, length: int, gram: int, parts: int, share: int, least: int) -> list[int]:
+    """Grams that would fill half a partition by themselves, seen in one of
+    ``share`` texts: at most 2 * ``parts`` of them.  They only decide what is
+    salted, never what is found."""
+    seen = (_anchor_rows(texts.where(F.pmod("t2", F.lit(share)) == 0), length, gram, [], 1)
+            .groupBy("gram").count())
+    seen = materialize(seen, "gram-sample")
+    total = seen.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    bound = max(least, total // (2 * parts))
+    return [r["gram"] for r in seen.where(F.col("count") > bound).select("gram").collect()]
+
+
+def _unsalted(met: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Suffixes of all grams, and the salted rows that repeat in another salt."""
+    rep = ["t1", "t2", "pos", "left", "right"]
+    ends = met.where("kind = 1")
+    salted = ends.where("salt > 0")
+    classes = salted.groupBy("gram", "ctx").agg(
+        F.sum(F.when(F.col("lone"), 1).otherwise(2)).alias("n"), F.min(F.struct(*rep)).alias("r"))
+    several = classes.groupBy("gram").count().where("count > 1").select("gram")
+    one = classes.join(several, "gram", "left_semi").select("gram", "r.*", (F.col("n") == 1).alias("lone"))
+    again = (salted.where("lone").join(classes.where("n > 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi")
+             .where(F.col("left") + F.col("right") >= length).select("t1", "t2", "pos", "left", "right"))
+    return ends.where("salt = 0").select("gram", *rep, "lone").unionByName(one), again
 
-    found = texts.mapInPandas(find, "t1 long, t2 long, pos long, gram long, ctx long, left short, right short")
+
+def repeats(texts: DataFrame, length: int = 200, gram: int = 48, max_group: int = 20_000,
+            max_broadcast_rows: int = 200_000, share: int = 16, least: int = 64) -> DataFrame:
+    """(t1, t2, runs) of texts (t1, t2, raw) that have a repeated string."""
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frequent = _frequent_grams(texts, length, gram, parts, share, least)
+    found = _anchor_rows(texts, length, gram, frequent, parts)
     met = materialize(
-        found.repartition(parts, "gram").sortWithinPartitions("gram", "ctx").mapInPandas(
+        found.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "ctx").mapInPandas(
             lambda it: _classes(it, length),
-            "kind int, lone boolean, gram long, ctx long, t1 long, t2 long, pos long, left short, right short"),
+            "kind int, lone boolean, gram long, salt int, ctx long, t1 long, t2 long, pos long, "
+            "left short, right short"),
         "anchors")
-    whole = met.where("kind = 0").select("t1", "t2", (F.col("pos") - F.col("left")).alias("a"),
-                                         (F.col("pos") + F.col("right")).alias("b"))
-    ends = met.where("kind = 1")
+    ends, again = _unsalted(met, length)
+    whole = (met.where("kind = 0").select("t1", "t2", "pos", "left", "right").unionByName(again)
+             .select("t1", "t2", (F.col("pos") - F.col("left")).alias("a"),
+                     (F.col("pos") + F.col("right")).alias("b")))
+    ends = materialize(ends, "ends")
     sizes = ends.groupBy("gram").count()
     hot = materialize(sizes.where(F.col("count") > max_group).select("gram", F.lit(True).alias("hot")), "hot")
     wanted = (ends.join(hot, "gram", "left").groupBy("t1", "t2").agg(F.collect_set(F.struct(
         "gram", "pos", "left", "right", "lone", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("at")))
-    wanted = materialize(wanted, "wanted")
-    at = _with_text(texts, wanted, "inner", max_broadcast_rows)
-    buckets = max(parts, -(-ends.count() // 20_000))
+    n_ends = ends.count()
+    at = _with_text(texts, materialize(wanted, "wanted"), "inner", n_ends, max_broadcast_rows)
+    buckets = max(parts, -(-n_ends // 20_000))
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: dict[int, list] = {}
         size = 0
         for pdf in batches:
             for t1, t2, raw, places in zip(pdf["t1"], pdf["t2"], pdf["raw"], pdf["at"], strict=True):
-                for p in places:
+                for p in places:  # cut out of the whole text
                     if not p["hot"]:
                         pos, right, left = p["pos"], p["right"], p["left"]
                         rows.setdefault(p["gram"] % buckets, []).append(
                             (raw[pos:pos + right], raw[pos - left:pos][::-1], p["gram"], t1, t2, pos, p["lone"]))
                         size += 2 * length
-            if size > 16 << 20:
+            if size > 8 << 20:
                 yield pd.DataFrame([(k, _pack_run(v)) for k, v in rows.items()], columns=["part", "run"])
                 rows, size = {}, 0
         yield pd.DataFrame([(k, _pack_run(v)) for k, v in rows.items()], columns=["part", "run"])
@@ -455,7 +502,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(raw).alias("t1"),
                         F.xxhash64(F.lit(1), raw).alias("t2"), raw.alias("raw"))
     found = materialize(repeats(texts.select("t1", "t2", "raw"), length, **options), "repeats")
-    rows = _with_text(texts, found, "left", options.get("max_broadcast_rows", 500_000))
+    n_runs = found.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
+    rows = _with_text(texts, found, "left", n_runs, options.get("max_broadcast_rows", 200_000))
 
     @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     def rest(raws: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -476,7 +524,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 ORACLE = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 400)) AS h FROM (
+w AS (SELECT doc_id, s, hash(substr(x, 2 * s + 1, 400)) AS h FROM (
       SELECT doc_id, x, unnest(range(length(x) // 2 - 199)) AS s FROM d WHERE length(x) >= 400)),
 p AS (SELECT doc_id, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
 g AS (SELECT doc_id, s, sum(CASE WHEN prev IS NULL OR s > prev + 200 THEN 1 ELSE 0 END)

@@ -52,13 +52,24 @@ def corpus(rng, n):
     return out
 
 
-@pytest.mark.parametrize("group", [1, 20_000])
-def test_equals_counting_all_substrings(spark, group):
-    rng = random.Random(group)
+@pytest.mark.parametrize("options", [
+    {"max_group": 1}, {}, {"share": 1, "least": 1, "max_broadcast_rows": 0}])
+def test_equals_counting_all_substrings(spark, options):
+    check(spark, options)
+
+
+def test_salted_grams(spark, monkeypatch):
+    monkeypatch.setattr(S, "_frequent_grams", lambda texts, length, gram, *_: [
+        r["gram"] for r in S._anchor_rows(texts, length, gram, [], 1).select("gram").distinct().collect()])
+    check(spark, {})
+
+
+def check(spark, options):
+    rng = random.Random(len(options))
     texts = corpus(rng, 120) + [b"a" * 500, b"", b"short", "é".encode() * 300]
     texts += [texts[3], texts[5] + texts[7], texts[5][:199], texts[5][:200]]
     df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r for r in S.remove_repeats(df, max_group=group).collect()}
+    got = {r.doc_id: r for r in S.remove_repeats(df, **options).collect()}
     for i, runs in enumerate(brute(texts, 200)):
         kept = bytearray()
         at = 0
