@@ -132,7 +132,7 @@ class Model:
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])[owner] + inside * self.block
         order = np.argsort(-lengths, kind="stable")
         lengths, begin, owner = lengths[order], begin[order], owner[order]
-        step = 1 << 15
+        step = 1 << 12  # blocks that move together
         for i in range(0, len(owner), step):
             ls, at, own = lengths[i:i + step], begin[i:i + step], owner[i:i + step]
             grid = np.minimum(at[None, :] + np.arange(ls[0])[:, None], len(flat) - 1)
@@ -207,17 +207,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text",
         for texts in batches:
             lang, score = [], []
             part, size = [], 0
-            for t in [*texts, None]:  # about 8 MB of text at a time
+            for t in [*texts, None]:  # about 2 MB of text at a time
                 part.append(t)
                 size += len(t or "")
-                if size > 1 << 23 or len(lang) + len(part) == len(texts) + 1:
+                if size > 1 << 21 or len(lang) + len(part) == len(texts) + 1:
                     a, b = shared.value.predict(part)
                     lang += a
                     score += b.tolist()
                     part, size = [], 0
             yield pd.DataFrame({"lang": lang[:len(texts)], "score": score[:len(texts)]})
 
-    return (docs.withColumn("__judged", judge(F.col(text_col)))
+    # not to be evaluated again for a filter on what it returns
+    judged = judge.asNondeterministic()(F.col(text_col))
+    return (docs.withColumn("__judged", judged)
             .withColumn(lang_out, F.col("__judged.lang"))
             .withColumn(score_out, F.col("__judged.score")).drop("__judged"))
 
