@@ -6,15 +6,17 @@ of neighbours in that order).  A round of NN-descent then joins the graph with
 itself: a node meets the neighbours of some of its neighbours, through an edge
 that is new on at least one side.  A node's list holds its best ``k`` edges and
 is doubled as long as it is saturated (its last edge still reaches the
-threshold), so a group of any size is found.  Rounds end when next to no new
-edge reaches the threshold.
+threshold), so a group of any size is found.  Rounds end when next to no node
+gets a new edge at the threshold.
 
-An audit compares a sample of nodes with all nodes in blocks; while the share of
-their true links that the graph has is below ``recall``, more projection orders
-are added and the rounds go on.  Edges at the threshold are the links.
+An audit compares a sample of nodes with all nodes in blocks; while the mean
+share of a node's true links that the graph has is below ``recall``, among nodes
+with few links or among those of large groups, more projection orders are added
+and the rounds go on; if that is not enough either, an error is raised.  Edges at
+the threshold are the links.
 
 Cosines are computed in double precision.  Nothing but the audit's sample
-(``audit`` vectors) and the random projections is broadcast.
+(up to ``draws * audit`` vectors) and the random projections is broadcast.
 """
 
 from __future__ import annotations
@@ -140,9 +142,14 @@ def _round(found: DataFrame, nodes: DataFrame, threshold: float, explore: float,
     return _compared(pairs, nodes, explore)
 
 
-def _audit(nodes: DataFrame, threshold: float, size: int) -> DataFrame:
-    """True links (a, b, sim) of ``size`` nodes drawn by hash, against all."""
-    sample = nodes.orderBy(F.xxhash64("nid"), "nid").limit(size).select("nid", "dim", "unit").toPandas()
+def _drawn(nodes: DataFrame, skip: int, size: int) -> pd.DataFrame:
+    """``size`` nodes in the order of a hash, after the first ``skip``."""
+    return (nodes.select("nid", "dim", "unit").orderBy(F.xxhash64("nid"), "nid")
+            .offset(skip).limit(size).toPandas())
+
+
+def _true_links(nodes: DataFrame, sample: pd.DataFrame, threshold: float) -> DataFrame:
+    """All links (s, o, sim) of the sampled nodes s, by comparison with all nodes."""
     shared = nodes.sparkSession.sparkContext.broadcast(sample)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,43 +158,96 @@ def _audit(nodes: DataFrame, threshold: float, size: int) -> DataFrame:
             for dim, g in pdf.groupby("dim"):
                 if dim in by_dim:
                     ids, q = by_dim[dim]
-                    x, mine = _matrix(g["unit"]), g["nid"].to_numpy()
-                    i, j = np.nonzero(x @ q.T >= threshold)
-                    i, j = i[mine[i] != ids[j]], j[mine[i] != ids[j]]
-                    yield pd.DataFrame({"a": mine[i], "b": ids[j],
-                                        "sim": np.einsum("ij,ij->i", x[i], q[j])})
-
-    return nodes.select("nid", "dim", "unit").mapInPandas(scan, EDGE)
+                    step = max(1, (1 << 22) // len(ids))  # 32 MB of cosines at a time
+                    for at in range(0, len(g), step):
+                        part = g.iloc[at:at + step]
+                        x, mine = _matrix(part["unit"]), part["nid"].to_numpy()
+                        i, j = np.nonzero(x @ q.T >= threshold)
+                        sim = np.einsum("ij,ij->i", x[i], q[j])
+                        ok = (mine[i] != ids[j]) & (sim >= threshold)
+                        yield pd.DataFrame({"s": ids[j][ok], "o": mine[i][ok], "sim": sim[ok]})
+
+    return nodes.select("nid", "dim", "unit").mapInPandas(scan, "s long, o long, sim double")
+
+
+def _audit(nodes: DataFrame, threshold: float, size: int, draws: int, crowd: int) -> tuple[DataFrame, bool]:
+    """True links (s, o, sim) of sampled nodes, and whether they are enough to
+    judge by.  Nodes are drawn until ``size`` have a link but not more than
+    ``crowd``, ``draws * size`` are drawn or there are no more (a quarter of ``size``
+    is enough then); of those in larger groups a quarter of ``size`` is taken, as
+    each brings its whole group."""
+    sample = _drawn(nodes, 0, 0)
+    sparse, dense, seen, total = sample, sample, 0, nodes.count()
+    while len(sparse) < size and seen < min(total, draws * size):
+        sample = _drawn(nodes, seen, min(max(size, 3 * seen), draws * size - seen))
+        counts = (_true_links(nodes, sample, threshold).groupBy("s").count().toPandas()
+                  .set_index("s")["count"].reindex(sample["nid"], fill_value=0).to_numpy())
+        sparse = pd.concat([sparse, sample[(counts > 0) & (counts <= crowd)]])
+        dense = pd.concat([dense, sample[counts > crowd]])
+        seen += len(sample)
+    chosen = pd.concat([sparse[:size], dense[:max(1, size // 4)]], ignore_index=True)
+    return _true_links(nodes, chosen, threshold), len(sparse) >= max(1, size // 4) or seen >= total
+
+
+def _recalls(true: DataFrame, links: DataFrame, crowd: int) -> tuple[float, float]:
+    """Mean share of its true links that the graph has per audited node: nodes
+    of up to ``crowd`` links, and those of larger groups (1 if there are none)."""
+    hit = (true.select("s", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"))
+           .join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+           .groupBy("s").agg(F.count("*").alias("n"), F.count("hit").alias("hits")))
+    r = hit.agg(*(F.coalesce(F.avg(F.when(c, F.col("hits") / F.col("n"))), F.lit(1.0))
+                  for c in (F.col("n") <= crowd, F.col("n") > crowd))).first()
+    return float(r[0]), float(r[1])
+
+
+def _ends(links: DataFrame) -> int:
+    """Nodes that have a link."""
+    return links.select(F.explode(F.array("a", "b")).alias("n")).distinct().count()
 
 
 def graph(nodes: DataFrame, threshold: float = 0.95, explore: float = 0.8, k: int = 16,
           pivots: int = 8, orders: int = 6, rounds: int = 12, audit: int = 512,
-          recall: float = 0.99, audits: int = 4) -> DataFrame:
-    """(a, b, sim), a < b: links at ``threshold`` between nodes (nid, dim, unit)."""
-    found, true = None, materialize(_distinct(_audit(nodes, threshold, audit)).where(
-        F.col("sim") >= threshold), "audit")
-    n_true = true.count()
+          recall: float = 0.99, audits: int = 4, draws: int = 32, crowd: int = 64) -> DataFrame:
+    """(a, b, sim), a < b: links at ``threshold`` between nodes (nid, dim, unit).
+
+    Each attempt adds twice the projection orders of the one before.  Raises
+    RuntimeError if the last one is still below ``recall``."""
+    found = None
+    true, enough = _audit(nodes, threshold, audit, draws, crowd)
+    true = materialize(true, "audit")
     for attempt in range(audits):
         fresh = None
-        for i in range(orders):
-            e = _projection_edges(nodes, attempt * orders + i, explore)
+        for i in range(orders * (2**attempt - 1), orders * (2**(attempt + 1) - 1)):
+            e = _projection_edges(nodes, i, explore)
             fresh = e if fresh is None else fresh.union(e)
         fresh = _distinct(fresh)
         if found is not None:
             fresh = fresh.join(found.select("a", "b"), ["a", "b"], "left_anti")
+        gained = 0  # nodes with a link that this attempt added, most of any round
         for turn in range(rounds):
             fresh = materialize(fresh.withColumn("new", F.lit(True)), "edges")
             found = fresh if found is None else fresh.unionByName(
                 found.withColumn("new", F.lit(False)))
-            found = materialize(found, "graph") if turn else found
-            at = fresh.agg(F.count_if(F.col("sim") >= threshold)).first()[0]
-            if turn and at <= 0.0005 * found.where(F.col("sim") >= threshold).count():
+            found = materialize(found, "graph") if turn or attempt else found
+            moved = _ends(fresh.where(F.col("sim") >= threshold))
+            gained = max(gained, moved)
+            # nodes, not links: one dense group has next to all links
+            tolerated = 0.0005 * _ends(found.where(F.col("sim") >= threshold))
+            if turn and moved <= tolerated:
                 break
             fresh = _distinct(_round(found, nodes, threshold, explore, k, pivots, turn))
         links = found.where(F.col("sim") >= threshold).select("a", "b", "sim")
-        if not n_true or true.join(links, ["a", "b"], "left_semi").count() >= recall * n_true:
+        shares = _recalls(true, links, crowd)
+        # too few linked nodes to judge by: more orders must not matter either
+        if min(shares) >= recall and (enough or gained <= (1 - recall) * _ends(links)):
             break
-    return links.union(true.select("a", "b", "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    else:
+        raise RuntimeError(
+            f"links found after {audits} attempts: {shares[0]:.4f} per audited node, {shares[1]:.4f} per node of "
+            f"groups above {crowd} links, asked {recall}"
+            + ("" if enough else "; few linked nodes were drawn, and the last orders still added links"))
+    seen = true.select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), "sim")
+    return links.union(seen).groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quarry.llm import embdedup as E
 
@@ -44,3 +45,28 @@ def test_links_and_components(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert E.near_duplicates(df).count() == 0
+
+
+def _pairs_beside_a_dense_group():
+    """(vec_id, embedding) of a dense group and of 300 isolated pairs at cosine .955."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x, y = unit(rng.standard_normal((300, 64))), rng.standard_normal((300, 64))
+    y = unit(y - (x * y).sum(1, keepdims=True) * x)
+    group = unit(rng.standard_normal((1, 64)) + rng.standard_normal((1000, 64)) * .02)
+    rest = unit(rng.standard_normal((1400, 64)))
+    rows = np.concatenate([group, x, .955 * x + (1 - .955**2)**.5 * y, rest])
+    return [(i, v.tolist()) for i, v in enumerate(rows)]
+
+
+def test_a_dense_group_does_not_hide_lost_pairs(spark):
+    df = spark.createDataFrame(_pairs_beside_a_dense_group(), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in E.near_duplicates(df, orders=1, pivots=2, audit=64).collect()}
+    assert np.mean([got[1000 + i].component_id == got[1300 + i].component_id for i in range(300)]) >= .98
+    assert np.mean([got[i].n_links for i in range(1000)]) >= .99 * 999
+
+
+def test_recall_below_the_target_raises(spark):
+    df = spark.createDataFrame(_pairs_beside_a_dense_group(), "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="links found"):
+        E.near_duplicates(df, orders=1, pivots=2, audit=64, audits=1)
