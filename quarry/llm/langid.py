@@ -15,7 +15,9 @@ Training text per language is bounded (``train_chars`` normalised characters, a
 documented parameter): documents are taken in the order of a hash of their text
 until the bound is reached.  The tables are broadcast; their size is bounded by
 languages x 2 x train_chars x letters x 4 bytes, and ``max_table_bytes`` is
-checked: with more languages, each gets fewer training characters.
+checked: with more languages, each gets fewer training characters.  ``letters``
+bounds the columns, not the alphabet: letters beyond the most frequent ones are
+told apart by sorted transitions (at most 3 x train_chars x 12 bytes a language).
 """
 
 from __future__ import annotations
@@ -40,15 +42,16 @@ def normalise(text: str) -> str:
 
 
 class Automaton:
-    """Suffix automaton of a string over letters 0..size-1 as a dense table.
+    """Suffix automaton of a string over letters 0..size-2 as a dense table, and
+    over ``rare`` letters from ``size`` on as sorted transitions.
 
     ``table[state * size + letter]`` is the state after the letter; where no
     factor of the string goes on so, it is the state that a new phrase starts
-    with, flagged NEW.  ``size - 1`` stands for letters never seen and always
-    ends a phrase on both sides.
+    with, flagged NEW.  ``size - 1`` stands for letters that no language showed;
+    like rare letters that this one never showed it ends a phrase on both sides.
     """
 
-    def __init__(self, letters: np.ndarray, size: int):
+    def __init__(self, letters: np.ndarray, size: int, rare: int = 0):
         nexts, link, length = [{}], [-1], [0]
         last = 0
         for c in letters.tolist():
@@ -76,12 +79,30 @@ class Automaton:
             last = cur
         dead = len(nexts)  # after a letter never seen: what follows starts a phrase
         table = np.full((dead + 1, size), -1, np.int32)
+        keys, to = [], []
         for s, out in enumerate(nexts):
             for c, t in out.items():
-                table[s, c] = t
+                if c < size:
+                    table[s, c] = t
+                else:
+                    keys.append(s * rare + c - size)
+                    to.append(t)
         start = np.where(table[0] >= 0, table[0], dead) | NEW
         self.table = np.where(table >= 0, table, start[None, :]).astype(np.int32).ravel()
-        self.size = size
+        self.size, self.rare = size, rare
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.to = np.append(np.array(to, np.int32)[order], np.int32(dead))
+        self.start = np.full(rare, dead, np.int32) | NEW
+        for c, t in nexts[0].items():
+            if c >= size:
+                self.start[c - size] = t | NEW
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Table entries for rare letters (counted from 0)."""
+        key = state.astype(np.int64) * self.rare + letter
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], self.start[letter])
 
 
 def parse(blocks: np.ndarray, lengths: np.ndarray, auto: Automaton) -> np.ndarray:
@@ -93,9 +114,16 @@ def parse(blocks: np.ndarray, lengths: np.ndarray, auto: Automaton) -> np.ndarra
     ends = np.zeros(n, np.int32)
     active = np.searchsorted(-lengths, -np.arange(len(blocks)), side="left")
     size, table, low = np.int32(auto.size), auto.table, np.int32(NEW - 1)
+    rare = blocks.size and blocks.max() >= auto.size
     for t in range(len(blocks)):
         m = active[t]
-        entry = table[state[:m] * size + blocks[t, :m]]
+        if rare:
+            letter = blocks[t, :m].astype(np.int32)
+            entry = table[state[:m] * size + np.minimum(letter, size - 1)]
+            at = np.flatnonzero(letter >= size)
+            entry[at] = auto.step(state[at], letter[at] - size)
+        else:
+            entry = table[state[:m] * size + blocks[t, :m]]
         if t:
             ends[:m] += entry >> 30
         state[:m] = entry & low
@@ -103,19 +131,23 @@ def parse(blocks: np.ndarray, lengths: np.ndarray, auto: Automaton) -> np.ndarra
 
 
 class Model:
-    """Automata of the languages (sorted by name) and the letters they share."""
+    """Automata of the languages (sorted by name) and the codes of all letters
+    of their texts: the ``letters`` most frequent ones have a column in the dense
+    tables, the others follow as rare ones."""
 
     def __init__(self, texts: dict[str, str], letters: int = 62, block: int = 256):
         seen = Counter()
         for t in texts.values():
             seen.update(t)
-        kept = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:letters])
+        ranked = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        kept, rare = sorted(ranked[:letters]), sorted(ranked[letters:])
         self.langs = sorted(texts)
         self.block = block
         self.size = len(kept) + 1
-        self.code = np.full(0x110000, self.size - 1, np.uint8)
+        self.code = np.full(0x110000, self.size - 1, np.min_scalar_type(self.size + len(rare)))
         self.code[[ord(c) for c in kept]] = np.arange(len(kept))
-        self.autos = [Automaton(self.code[_points(texts[lang])], self.size) for lang in self.langs]
+        self.code[[ord(c) for c in rare]] = self.size + np.arange(len(rare))
+        self.autos = [Automaton(self.code[_points(texts[lang])], self.size, len(rare)) for lang in self.langs]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(texts, languages) phrases of normalised texts."""

@@ -51,3 +51,24 @@ def test_identify_learns_and_answers_odd_rows(spark):
     assert got.score.between(0, 1).all()
     assert set(L.identify(df.where("text is null or lang is null")).toPandas().lang_pred) == {"und"}
     assert L.identify(df.limit(0)).count() == 0
+
+
+def test_letters_beyond_the_dense_columns_are_told_apart():
+    rng = random.Random(3)
+    train = {g: "".join(rng.choice(a) for _ in range(400)) for g, a in
+             (("x", "abcd "), ("y", "漢字仮名 "), ("z", "漢語한글 "))}
+    model = L.Model(train, letters=3, block=16)
+    texts = ["".join(rng.choice("abc漢字名한Ω ") for _ in range(n)) for n in (0, 1, 15, 16, 17, 300, 999)]
+    want = [[brute_phrases(t, train[g], 16) for g in model.langs] for t in texts]
+    assert model.phrases(texts).tolist() == want
+
+
+def test_scripts_outside_the_most_frequent_letters():
+    rng = random.Random(4)
+    latin = "".join(map(chr, range(ord("a"), ord("z") + 1)))
+    words = {"la": latin, "cy": "".join(map(chr, range(0x430, 0x450))), "el": "αβγδεζηθικλμνξοπρστυφχψω",
+             "zh": "".join(map(chr, range(0x4E00, 0x4F00))), "ko": "".join(map(chr, range(0xAC00, 0xAD00)))}
+    text = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(n))
+    model = L.Model({g: text(a, 3000) for g, a in words.items()})
+    for g, a in words.items():
+        assert model.predict([text(a, 20) for _ in range(10)])[0] == [g] * 10
