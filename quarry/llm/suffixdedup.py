@@ -25,7 +25,8 @@ input, so the suffix array is sparse, without losing a repeat:
 Grams with more than ``max_group`` different contexts are not gathered: the
 hashes of all strings around their anchors are counted instead, which is exact
 and spread over the cluster.  Texts are bytes; matches never cross documents.
-Rows with equal texts are known by two hashes of the text.
+Rows with equal texts are known by two hashes of the text; suffixes are cut out
+of one of them.
 """
 
 from __future__ import annotations
@@ -370,6 +371,14 @@ def _with_text(docs: DataFrame, small: DataFrame, how: str, rows: int, max_broad
     return docs.join(F.broadcast(small) if rows <= max_broadcast_rows else small, ["t1", "t2"], how)
 
 
+def _once(texts: DataFrame, wanted: DataFrame, rows: int, max_broadcast_rows: int) -> DataFrame:
+    """Each wanted text one time, however many rows have it: copies go before
+    the exchange, task by task, so no task gets all rows of a text."""
+    if rows <= max_broadcast_rows:  # few: only their texts are exchanged
+        texts = texts.join(F.broadcast(wanted.select("t1", "t2")), ["t1", "t2"], "left_semi")
+    return _with_text(texts.dropDuplicates(["t1", "t2"]), wanted, "inner", rows, max_broadcast_rows)
+
+
 def _slices(pdf: pd.DataFrame, size: int = 4 * CHUNK) -> Iterator[pd.DataFrame]:
     """Parts of a batch that hold about ``size`` bytes of text."""
     part = np.cumsum([len(t) for t in pdf["raw"]]) // size
@@ -442,7 +451,7 @@ def repeats(texts: DataFrame, length: int = 200, gram: int = 48, max_group: int
     wanted = (ends.join(hot, "gram", "left").groupBy("t1", "t2").agg(F.collect_set(F.struct(
         "gram", "pos", "left", "right", "lone", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("at")))
     n_ends = ends.count()
-    at = _with_text(texts, materialize(wanted, "wanted"), "inner", n_ends, max_broadcast_rows)
+    at = _once(texts, materialize(wanted, "wanted"), n_ends, max_broadcast_rows)
     buckets = max(parts, -(-n_ends // 20_000))
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

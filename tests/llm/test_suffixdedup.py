@@ -91,3 +91,25 @@ def test_odd_rows(spark):
     assert got == [(0, 900, 900), (1, 0, 0), (2, 0, 0), (3, 199, 0), (3, 199, 0), (4, 200, 200),
                    (4, 200, 200), (5, len(long), 900)]
     assert S.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_text_send_one_suffix(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage = word(400)
+    copied, other = word(300) + passage + word(300), word(200) + passage + word(200)
+    rows = [(i, copied) for i in range(300)] + [(1000, other), (1001, word(900))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    merge, log = S._merge_part, str(tmp_path)
+
+    def counted(pdf, length, gram):
+        n = sum(len(S._unpack_run(r)[1]) for r in pdf["run"])
+        with open(f"{log}/{pdf['part'].iloc[0]}", "w") as f:
+            f.write(str(n))
+        return merge(pdf, length, gram)
+
+    monkeypatch.setattr(S, "_merge_part", counted)
+    got = {r.doc_id: r.n_removed for r in S.remove_repeats(df).collect()}
+    sent = sum(int(p.read_text()) for p in tmp_path.iterdir())
+    assert 0 < sent < 100  # not one for each of the 300 copies
+    assert got == {i: 1000 for i in range(300)} | {1000: 400, 1001: 0}
