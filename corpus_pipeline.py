@@ -42,9 +42,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the least id."""
+    """One row of each SimHash group stays, the one with the least id."""
     _prepare(spark)
-    return simhash.keep_one(docs, shingle=3, max_bits=2)
+    return simhash.one_per_group(docs, shingle=3, max_bits=2)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -221,6 +221,13 @@ def _neighbour_links(fps: DataFrame, max_bits: int) -> DataFrame:
         F.col("fp").alias("a"), F.col("m").alias("b")).distinct()
 
 
+def _members(fps: DataFrame, max_bits: int, max_bucket: int) -> DataFrame:
+    """Distinct fingerprints with the least one of their component (``root``)."""
+    roots = components(links(fps, max_bits, max_bucket))
+    return (fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+            .withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 3, max_bits: int = MAX_BITS,
                     max_bucket: int = 2048) -> DataFrame:
@@ -234,10 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(
         with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
                           "text", shingle).select("id", "fp"), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(fps, max_bits, max_bucket))
-    member = (fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-              .withColumn("root", F.coalesce("root", "fp")))
+    member = _members(rows.groupBy("fp").agg(F.min("id").alias("least")), max_bits, max_bucket)
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = member.join(least, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(
@@ -248,7 +252,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without all but one document of each near-duplicate group (the
     one with the least id).  Rows with a null id are kept: they can't be told
-    apart.  Of rows that repeat an id, all or none stay."""
+    apart.  Of rows that repeat an id, all or none stay.  ``one_per_group`` tells
+    these apart too and keeps one row."""
     found = near_duplicates(docs, id_col, **options)
     out = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
     return docs.join(out, id_col, "left_anti")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  shingle: int = 3, max_bits: int = MAX_BITS, max_bucket: int = 2048) -> DataFrame:
+    """``docs`` with exactly one row of each near-duplicate group: the least id
+    (null ids last), of its texts the one of least hash, and of rows that repeat
+    both the one whose hash of all columns is least.  A row is known by its id
+    and two hashes of its text, so another text under the same id is judged by
+    itself, and repeated rows and rows with a null id go like any other copy."""
+    text = F.col(text_col)
+    keyed = docs.withColumns({"__id": F.col(id_col), "__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit(1), text)})
+    rows = materialize(
+        with_fingerprints(keyed.select("__id", "__t1", "__t2", text.alias("text")), "text", shingle)
+        .select("__id", "__t1", "__t2", "fp"), "fingerprints")
+    texts = rows.groupBy("__id", "__t1", "__t2", "fp").agg(F.count("*").alias("n"))
+    fps = materialize(texts.groupBy("fp").agg(F.min(F.struct(
+        F.col("__id").isNull().alias("last"), "__id", "__t1", "__t2", "n")).alias("least")), "texts")
+    survivors = materialize(_members(fps, max_bits, max_bucket).groupBy("root")
+                            .agg(F.min("least").alias("s")).select("s.*").drop("last"), "survivors")
+
+    def found(part: DataFrame) -> DataFrame:
+        s = part.select(*(F.col(c).alias(c.replace("__", "__s_")) for c in ("__id", "__t1", "__t2")))
+        return keyed.join(s, F.col("__id").eqNullSafe(F.col("__s_id")) & (F.col("__t1") == F.col("__s_t1"))
+                          & (F.col("__t2") == F.col("__s_t2")), "left_semi")
+
+    out = found(survivors.where("n = 1")).select(*docs.columns)
+    repeated = survivors.where("n > 1")
+    if not repeated.isEmpty():
+        one = (found(repeated).groupBy("__id", "__t1", "__t2")
+               .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")))
+        out = out.unionByName(one.select("row.*"))
+    return out

@@ -42,3 +42,16 @@ def test_stages_apply_their_operators(spark):
     before, after = seen["pack"]
     assert after.select("doc_id").distinct().count() == before.count()
     assert langid.UNKNOWN not in {r.lang for r in before.collect()}
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = "wort " * 300
+    rows = [(1, "A b c d", "x"), (2, "a B  c\td", "x"), (None, "a b c d", "x"), (6, long, "x"), (6, long, "x"),
+            (6, long, "y"), (None, "only here", "x"), (None, "only here", "x"), (9, "one clean text here", "x"),
+            (9, "a b c d", "x"), (3, None, "x"), (4, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = C.near_dedup(spark, df, SF)
+    assert got.columns == df.columns
+    got = sorted(((r.doc_id or -1, r.text) for r in got.collect()), key=str)
+    assert got == sorted([(1, "A b c d"), (6, long), (-1, "only here"), (9, "one clean text here"), (3, None)], key=str)
+    assert C.near_dedup(spark, df.limit(0), SF).count() == 0
