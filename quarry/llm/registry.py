@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import quarry
-from quarry.llm import decontam, embdedup, langid, linededup, packing, secrets, sharding, simhash, suffixdedup, urlfilter
+from quarry.llm import (
+    decontam,
+    embdedup,
+    langid,
+    linededup,
+    lmscore,
+    packing,
+    secrets,
+    sharding,
+    simhash,
+    suffixdedup,
+    urlfilter,
+)
 from quarry.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,5 +103,10 @@ def op3_suffixdedup(spark, sf_dir):
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op11_lmscore(spark, sf_dir):
+    return lmscore.evaluate(table(spark, sf_dir, "documents"))
+
+
 ORACLE["op3_suffixdedup"] = suffixdedup.ORACLE
 ORACLE["op9_secrets"] = secrets.oracle()
