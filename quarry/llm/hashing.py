@@ -140,7 +140,7 @@ class Levels:
     shard (whoever builds one needs the keys of this shard only), key and level
     the block of 64 bytes within it, in which ``bits`` bits are set."""
 
-    SHARD = 1 << 17
+    SHARD = 1 << 14
     BLOCKS = SHARD // 64
 
     def __init__(self, shards: int, bits: int = 4, only: int | None = None):
