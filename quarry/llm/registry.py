@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import quarry
 from quarry.llm import (
+    collocations,
     decontam,
     embdedup,
     langid,
@@ -108,5 +109,11 @@ def op11_lmscore(spark, sf_dir):
     return lmscore.evaluate(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_collocations"] = collocations.oracle()
 ORACLE["op3_suffixdedup"] = suffixdedup.ORACLE
 ORACLE["op9_secrets"] = secrets.oracle()
