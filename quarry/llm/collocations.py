@@ -9,13 +9,14 @@ its piece.
 2. So are the pairs of neighbouring words that are left.
 3. Only suffixes that start with such a pair go on, cut where the next pair isn't
    frequent (Bloom filters of both, of bounded size, tell: they never say no to a
-   frequent one, so nothing is lost).  Equal suffixes of a batch travel as one with
+   frequent one, so nothing is lost).  Equal suffixes of a task travel as one with
    a weight, routed by language and their two leading words; a pair that holds
-   more than one in ``hot`` of all pairs is routed by three.
-4. A task takes its routes in order, some at a time, and sorts pointers to their
-   suffixes by three-way partitioning, word by word: the weight of the equal part
-   is the count of the phrase so far; parts below ``least`` are abandoned, an equal
-   part goes on with the next word, down to ``longest``.
+   more than one in ``hot`` of all pairs is routed by three.  Routes share buckets,
+   whose number grows with the pairs.
+4. In a bucket, pointers to suffixes are sorted by three-way partitioning, word by
+   word: the weight of the equal part is the count of the phrase so far; parts
+   below ``least`` are abandoned, an equal part goes on with the next word, down to
+   ``longest``.
 
 Words and languages are told apart by 64-bit hashes until the phrases are known.
 """
@@ -37,8 +38,9 @@ NO_LANG = "und"
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 SPACE = hashing.separators(BREAKS + b"\x20\x09")
 BREAK = hashing.separators(BREAKS)
-PART = 1 << 23     # bytes of text worked on at a time
-SORTED = 1 << 18   # suffixes sorted at a time, more where one route has more
+PART = 1 << 22     # bytes of text worked on at a time
+HELD = 600_000     # different suffixes that a task adds up before it sends them
+BUCKET = 500_000   # suffixes, copies included, that are sorted together on average
 
 
 def lang_hash(lang: str) -> int:
@@ -108,37 +110,55 @@ def pair_counts(rows: DataFrame, words, least: int) -> DataFrame:
             .where(F.col("n") >= least))
 
 
-def suffixes(rows: DataFrame, pairs, hot, longest: int) -> DataFrame:
-    """(route, hot, lh, w1 .. w<longest>, n): distinct suffixes of a batch whose
-    neighbouring words are all in the filter ``pairs``; 0 stands behind the end."""
+def suffixes(rows: DataFrame, pairs, hot, longest: int, buckets: int) -> DataFrame:
+    """(bucket, block), blocks of suffixes with the columns (route, hot, weight,
+    language, words), sorted and one behind the other: suffixes whose neighbouring words are
+    all in the filter ``pairs``; 0 stands behind the end.  A task adds up equal
+    ones, HELD different ones at a time."""
+    def found(h: np.ndarray, lh: np.ndarray, joined: np.ndarray) -> list[np.ndarray]:
+        """Columns: hash of the suffix, weight, hash of the leading pair, lh, words."""
+        key = hashing.pair(hashing.pair(lh, np.concatenate([h[:1], h[:-1]])), h)  # of the pair that ends here
+        link = joined & pairs.value.has(key)
+        link = np.append(link, np.zeros(longest, bool))
+        at = np.flatnonzero(link[1:len(h)])
+        wide = np.append(h, np.zeros(longest, np.uint64))
+        w, on = [wide[at], wide[at + 1]], np.ones(len(at), bool)
+        for k in range(2, longest):
+            on = on & link[at + k]
+            w.append(np.where(on, wide[at + k], 0).astype(np.uint64))
+        whole = lead = key[at + 1]
+        for x in w[2:]:
+            whole = hashing.pair(whole, x)
+        return summed([whole, np.ones(len(at), np.int64), lead, lh[at], *w])
+
+    def summed(cols: list[np.ndarray]) -> list[np.ndarray]:
+        whole, first, back = np.unique(cols[0], return_index=True, return_inverse=True)
+        n = np.bincount(back, cols[1], len(whole)).astype(np.int64)
+        return [whole, n, *(c[first] for c in cols[2:])]
+
+    def blocks(cols: list[np.ndarray]) -> pd.DataFrame:
+        _, n, lead, lh, *w = cols
+        is_hot = np.isin(lead, hot.value)
+        route = np.where(is_hot, hashing.pair(lead, w[2] if longest > 2 else lead), lead)
+        bucket = (hashing.mix(route) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((route, bucket))
+        first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        table = np.stack([route, is_hot.astype(np.uint64), n.astype(np.uint64), lh, *w])[:, order]
+        return pd.DataFrame({"bucket": bucket[order][first],
+                             "block": [x.tobytes() for x in np.split(table, first[1:], axis=1)] if len(first) else []})
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for _, _, (_, _, _, h, lh, joined) in _batches(batches):
-            if not len(h):
-                continue
-            key = hashing.pair(hashing.pair(lh, np.concatenate([[h[0]], h[:-1]])), h)  # of the pair that ends here
-            link = joined & pairs.value.has(key)
-            link = np.append(link, np.zeros(longest, bool))
-            at = np.flatnonzero(link[1:len(h)])
-            wide = np.append(h, np.zeros(longest, np.uint64))
-            w, on = [wide[at], wide[at + 1]], np.ones(len(at), bool)
-            for k in range(2, longest):
-                on = on & link[at + k]
-                w.append(np.where(on, wide[at + k], 0).astype(np.uint64))
-            lead = key[at + 1]
-            whole = lead
-            for x in w[2:]:
-                whole = hashing.pair(whole, x)
-            _, first, n = np.unique(whole, return_index=True, return_counts=True)
-            lead, at = lead[first], at[first]
-            w = [x[first] for x in w]
-            known = hot.value
-            is_hot = np.isin(lead, known)
-            route = np.where(is_hot, hashing.pair(lead, w[2] if longest > 2 else lead), lead)
-            yield pd.DataFrame({"route": route.view(np.int64), "hot": is_hot, "lh": lh[at].view(np.int64),
-                                **{f"w{k + 1}": x.view(np.int64) for k, x in enumerate(w)}, "n": n})
-
-    cols = ", ".join(f"w{k + 1} long" for k in range(longest))
-    return rows.mapInPandas(emit, f"route long, hot boolean, lh long, {cols}, n long")
+            new = found(h, lh, joined)
+            held = new if held is None else summed([np.concatenate(x) for x in zip(held, new, strict=True)])
+            if len(held[0]) > HELD:
+                yield blocks(held)
+                held = None
+        if held is not None:
+            yield blocks(held)
+
+    return rows.mapInPandas(emit, "bucket long, block binary")
 
 
 def quicksort(cols: list[np.ndarray], n: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -166,12 +186,11 @@ def quicksort(cols: list[np.ndarray], n: np.ndarray, least: int) -> Iterator[tup
 
 def phrases(routed: DataFrame, least: int, longest: int) -> DataFrame:
     """(lh, ws array<long>, a) of all phrases of two words or more with a count of
-    at least ``least``, from sorted routes."""
-    names = [f"w{k + 1}" for k in range(longest)]
-
-    def found(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [pdf[c].to_numpy().view(np.uint64) for c in ["lh", *names]]
-        n, hot, route = pdf["n"].to_numpy(), pdf["hot"].to_numpy(), pdf["route"].to_numpy()
+    at least ``least``."""
+    def found(group: pd.DataFrame) -> pd.DataFrame:
+        table = np.concatenate([np.frombuffer(x, np.uint64).reshape(4 + longest, -1) for x in group["block"]], axis=1)
+        table = table[:, np.argsort(table[0], kind="stable")]
+        route, hot, n, cols = table[0], table[1], table[2].astype(np.int64), list(table[3:])
         out = []
         for depth, row, weight in quicksort(cols, n, least):
             if depth > 3 or depth == 3 and not hot[row]:
@@ -180,34 +199,13 @@ def phrases(routed: DataFrame, least: int, longest: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]]))
         total = np.add.reduceat(n, first)
         out += [(int(r), 2, int(t)) for r, t in zip(first, total, strict=True) if hot[r]]
+        signed = [c.view(np.int64) for c in cols]
         return pd.DataFrame({
-            "lh": [int(pdf["lh"].iat[r]) for r, _, _ in out],
-            "ws": [[int(c[r].view(np.int64)) for c in cols[1:1 + m]] for r, m, _ in out],
+            "lh": [int(signed[0][r]) for r, _, _ in out],
+            "ws": [[int(c[r]) for c in signed[1:1 + m]] for r, m, _ in out],
             "a": [t for *_, t in out]}).astype({"lh": np.int64, "a": np.int64})
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            held.append(pdf)
-            size += len(pdf)
-            if size < SORTED:
-                continue
-            last = pdf["route"].iat[-1]
-            if held[0]["route"].iat[0] == last:
-                continue  # one route so far
-            whole = pd.concat(held)
-            done = whole["route"].to_numpy() != last
-            yield found(whole[done])
-            held = [whole[~done]]
-            size = len(held[0])
-        if held:
-            yield found(pd.concat(held))
-
-    return (routed.repartition("route").sortWithinPartitions("route")
-            .mapInPandas(stream, "lh long, ws array<long>, a long")
+    return (routed.groupBy("bucket").applyInPandas(found, "lh long, ws array<long>, a long")
             .groupBy("lh", "ws").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
 
 
@@ -263,7 +261,8 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     all_pairs = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     top = pairs.where(F.col("n") * hot > all_pairs).collect()  # at most ``hot`` rows
     hot_pairs = np.array([r["key"] for r in top], np.int64).view(np.uint64)
-    routed = suffixes(rows, _filter(spark, pairs, max_bytes), spark.sparkContext.broadcast(hot_pairs), longest)
+    routed = suffixes(rows, _filter(spark, pairs, max_bytes), spark.sparkContext.broadcast(hot_pairs), longest,
+                      1 + all_pairs // BUCKET)
     counts = materialize(phrases(routed, least, longest), "collocation-phrases")
 
     either = counts.unionByName(words.select("lh", F.array("h").alias("ws"), F.col("n").alias("a")))

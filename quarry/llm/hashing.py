@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 _U = np.uint64
-WINDOW = 1 << 21  # bytes hashed at a time
+WINDOW = 1 << 20  # bytes hashed at a time
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z become a-z
 
 
@@ -104,7 +104,7 @@ def words(data: np.ndarray, is_sep: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
 
 
-def parts(texts: list[str | None], size: int = WINDOW) -> Iterator[tuple[int, list[bytes]]]:
+def parts(texts: list[str | None], size: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts of about ``size`` bytes together: the index of the first,
     and their bytes with A-Z lower-cased (a null text is empty)."""
     first, got, total = 0, [], 0

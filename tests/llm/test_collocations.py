@@ -44,13 +44,14 @@ def fixture():
     return rows
 
 
-@pytest.mark.parametrize("least, hot, most, absorb, sorted_", [
+@pytest.mark.parametrize("least, hot, most, absorb, bucket", [
     (4, 1000, 2000, 100, 1 << 18), (3, 30, 7, 100, 50), (2, 1, 2000, 60, 300)])
-def test_phrases_equal_brute_force(spark, monkeypatch, least, hot, most, absorb, sorted_):
+def test_phrases_equal_brute_force(spark, monkeypatch, least, hot, most, absorb, bucket):
     rows = fixture()
     df = spark.createDataFrame([(i, *r, 1, "w") for i, r in enumerate(rows)],
                                "doc_id long, lang string, text string, n int, word string")
-    monkeypatch.setattr(C, "SORTED", sorted_)
+    monkeypatch.setattr(C, "BUCKET", bucket)
+    monkeypatch.setattr(C, "HELD", 40)
     got = C.mine(df.repartition(6), least=least, hot=hot, most=most, absorb=absorb).collect()
     assert len(got) == len(set(got))
     assert set(map(tuple, got)) == brute(rows, least, most=most, absorb=absorb)
