@@ -46,13 +46,29 @@ def _encoder(ranks_path: str, end_of_text: int):
                              special_tokens={"<|endoftext|>": end_of_text})
 
 
-def byte_bpe(text: str, ranks: str = "byte_bpe_50k.tiktoken", end_of_text: int = 50256) -> np.ndarray:
-    """Ids of the public byte-level BPE, special tokens in the text included.
-    The rank file holds the vocabulary of the JSON file and gives the same ids
-    (tested) several times faster."""
+@lru_cache(4)
+def _slow_encoder(path: str, special: bool):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = not special
+    return t
+
+
+def byte_bpe(text: str, ranks: str = "byte_bpe_50k.tiktoken", end_of_text: int = 50256,
+             special: bool = True, vocabulary: str = "byte_bpe_50k.json") -> np.ndarray:
+    """Ids of the public byte-level BPE; strings of special tokens in the text are
+    these tokens (``special``) or plain text.  The rank file holds the vocabulary
+    of the JSON file and gives the same ids (tested) several times faster; its
+    pattern engine gives up on very long runs of white space, which then go
+    through the JSON file."""
     import public_tokenizers
-    return _encoder(public_tokenizers.path(ranks), end_of_text).encode_to_numpy(
-        text, allowed_special="all")
+    encoder = _encoder(public_tokenizers.path(ranks), end_of_text)
+    try:
+        return (encoder.encode_to_numpy(text, allowed_special="all") if special
+                else encoder.encode_to_numpy(text, disallowed_special=()))
+    except ValueError:  # its stack of backtracking is full
+        slow = _slow_encoder(public_tokenizers.path(vocabulary), special)
+        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def pieces(docs: DataFrame, encode: Callable[[str], np.ndarray] = byte_bpe,
