@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import quarry
 from quarry.llm import (
+    alignment,
     collocations,
     decontam,
     embdedup,
@@ -109,6 +110,11 @@ def op11_lmscore(spark, sf_dir):
     return lmscore.evaluate(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_collocations(spark, sf_dir):
     return collocations.mine(table(spark, sf_dir, "documents"))
