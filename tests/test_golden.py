@@ -61,8 +61,11 @@ def test_product_text_golden(spark):
 def test_truncation_counts_code_points(spark):
     s = "é" * 700
     df = spark.createDataFrame([("a", None, None, None, None, s)], SCHEMA)
-    b = df.select(TX.basic_text().alias("b")).first()["b"]
-    assert len(b) == 600
+    r = df.select(TX.basic_text(max_description=600).alias("b"), TX.basic_text().alias("whole")).first()
+    assert (len(r["b"]), len(r["whole"])) == (600, 700)
+    df = spark.createDataFrame([("a", None, None, None, s, None)], SCHEMA)
+    r = df.select(TX.enhanced_text(max_bullets=400).alias("b"), TX.enhanced_text().alias("whole")).first()
+    assert len(r["whole"]) - len(r["b"]) == 300
 
 
 def test_unicode_whitespace_collapse(spark):
