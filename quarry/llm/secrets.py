@@ -46,9 +46,12 @@ CLASSES = (
               "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
               "[A-Za-z0-9+/_=-]", 24, 3.85),
 )
-# Runs that look random and are not secret: words, numbers, paths of words, UUIDs.
-ALLOW = (r"^[A-Za-z]+$", r"^[0-9]+$", r"^[A-Za-z]+([/_-][A-Za-z]*[0-9]*)+$", r"^[=_/+-]+$",
-         r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+# Runs that look random and are not secret: words, numbers, rules, UUIDs.  No
+# expression repeats a group without a bound: the engine would recurse for it.
+ALLOW = (r"^[A-Za-z]+$", r"^[0-9]+$", r"^[=_/+-]+$", r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+# Paths of words, each with a number behind it or none: a run that fits the first
+# and holds nothing of the second.
+PATHS = (r"^[A-Za-z]+[/_-][A-Za-z0-9/_-]*$", r"[0-9][A-Za-z]")
 
 
 def _none() -> Column:
@@ -132,10 +135,12 @@ def hot_windows(run: Column, c: CharClass) -> Column:
     return _named(codes, walk)
 
 
-def entropy_spans(text: Column, c: CharClass, allow=ALLOW) -> Column:
+def entropy_spans(text: Column, c: CharClass, allow=ALLOW, paths=PATHS) -> Column:
     runs = find(text, rf"(?<!{c.pattern}){c.pattern}{{{c.window},}}", c.name)
     if allow:
         runs = F.filter(runs, lambda r: ~r["group"].rlike("|".join(allow)))
+    if paths:
+        runs = F.filter(runs, lambda r: ~r["group"].rlike(paths[0]) | r["group"].rlike(paths[1]))
     spans = F.flatten(F.transform(runs, lambda r: F.transform(
         hot_windows(r["group"], c), lambda x: F.struct(
             F.lit(c.name).alias("kind"), (r["start"] + x["a"]).alias("start"),
@@ -154,14 +159,14 @@ def joined(spans: Column, kinds) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         classes=CLASSES, allow=ALLOW) -> DataFrame:
+         classes=CLASSES, allow=ALLOW, paths=PATHS) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans), one row per row of
     ``docs``.  A null text is empty: no spans, the hash of the empty string.
     Repeated rows and null ids are scanned like others."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     rows = rows.select("id", base_spans(text).alias("base"),
-                       F.concat(*[entropy_spans(text, c, allow) for c in classes]).alias("more"))
+                       F.concat(*[entropy_spans(text, c, allow, paths) for c in classes]).alias("more"))
     kinds = (*BASE, *(c.name for c in classes))
 
     def count(kind: str) -> Column:
@@ -193,7 +198,8 @@ def oracle() -> str:
                 f"regexp_extract_all(t, '{quoted}') AS m, regexp_extract_all(t, '{quoted}', {group}) AS p, "
                 f"string_split_regex(t, '{quoted}') AS g FROM d)) WHERE length(p[i]) >= {least}")
 
-    allow = " OR ".join(f"regexp_matches(m, '{p}')" for p in ALLOW)
+    allow = " OR ".join([*(f"regexp_matches(m, '{p}')" for p in ALLOW),
+                         f"(regexp_matches(m, '{PATHS[0]}') AND NOT regexp_matches(m, '{PATHS[1]}'))"])
     limit = " ".join(f"WHEN '{c.name}' THEN {c.window * (math.log2(c.window) - c.threshold)!r}" for c in CLASSES)
     width = " ".join(f"WHEN '{c.name}' THEN {c.window}" for c in CLASSES)
     order = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate([*BASE, *(c.name for c in CLASSES)]))

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -6,6 +7,28 @@ import re
 from quarry.llm import secrets as S
 
 
+# paths of words in one expression
+NESTED = r"^[A-Za-z]+([/_-][A-Za-z]*[0-9]*)+$"
+
+
+def test_paths_equal_the_nested_expression():
+    for n in range(8):
+        for run in map("".join, itertools.product("a1/-" if n > 5 else "aZ19/_-+", repeat=min(n, 7) if n != 5 else 5)):
+            assert bool(re.search(NESTED, run)) == bool(re.search(S.PATHS[0], run) and not re.search(S.PATHS[1], run)), run
+
+
+def test_very_long_runs(spark):
+    n = 1_000_000
+    texts = ["x" + c * n for c in "-_/"] + ["password" + " " * n + "= abcdefgh", "=" * n, "-" * n + "x", "a/b1-" * (n // 5),
+             " " * n + "token=abcdef", "AKIA" + "A" * n, "0" * n, "token:" * (n // 600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in S.scan(df).collect()}
+    for i, t in enumerate(texts):
+        base = brute_base(t)
+        assert got[i].base_sha256 == hashlib.sha256(join(base).encode()).hexdigest()
+        assert got[i].spans == join(base)  # rules, blanks, paths and single letters hold no entropy
+
+
 def brute_base(t):
     out = []
     for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
@@ -21,7 +44,7 @@ def brute_entropy(t):
     for rank, c in enumerate(S.CLASSES, 3):
         for m in re.finditer(c.pattern + "+", t):
             run, spans = m[0], []
-            if len(run) < c.window or any(re.search(p, run) for p in S.ALLOW):
+            if len(run) < c.window or any(re.search(p, run) for p in (*S.ALLOW, NESTED)):
                 continue
             for i in range(len(run) - c.window + 1):
                 win = run[i:i + c.window]
