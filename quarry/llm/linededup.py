@@ -164,16 +164,10 @@ def near_pairs(lines: DataFrame, max_edits: int = 1, min_chars: int = 20,
     return near.select("h1", "h2", F.col("i_h1").alias("g1"), F.col("i_h2").alias("g2"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          max_edits: int = 1, min_chars: int = 20, **options) -> DataFrame:
-    """``docs`` with ``text_col`` replaced by its kept lines, and the columns
-    ``__lines`` and ``__dropped`` (longs).
-
-    Lines of nothing but white space are kept and never compared.  A null text
-    stays null (0 lines).  Rows with a null id come after all others.  Rows that
-    repeat id and text are treated alike: both keep what one would.  Rows of one
-    id with different texts are ordered by line number, then by a hash of the
-    text.  Other columns pass through."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_chars: int,
+            **options) -> DataFrame:
+    """(doc, text, kept, lines, dropped): the row as a struct, its text, what is
+    kept of it, and its counts of full and of dropped lines."""
     lines = _lines(docs, id_col, text_col)
     first = materialize(
         lines.select(*_hashes(), F.struct(F.col("id").isNull().alias("none"), "id", "no", "th")
@@ -186,28 +180,46 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .join(first, ["h1", "h2"]).where("g_at < at").select("h1", "h2"))
     kept = (first.join(late, ["h1", "h2"], "left_anti")
             .groupBy("at.id", "at.th").agg(F.collect_set("at.no").alias("nos"))
-            .select(F.col("id").alias("__id"), F.col("th").alias("__th"), "nos"))
-    parts = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(
+            .select(F.col("id").alias("own"), F.col("th"), "nos"))
+    parts = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(
         i.alias("no"), x.alias("line"), x.rlike(r"\S").alias("full")))
     nos = F.coalesce("nos", F.array().cast("array<int>"))
-    stay = F.filter("__parts", lambda x: ~x["full"] | F.array_contains(nos, x["no"]))
-    return (docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id"))
-                      & (F.xxhash64(F.col(text_col)) == F.col("__th")), "left")
-            .withColumn("__parts", parts).withColumn("__stay", stay)
-            .withColumn("__lines", F.coalesce(F.size(F.filter("__parts", lambda x: x["full"])), F.lit(0))
-                        .cast("long"))
-            .withColumn("__dropped", F.when(F.col(text_col).isNull(), 0).otherwise(
-                F.size("__parts") - F.size("__stay")).cast("long"))
-            .withColumn(text_col, F.array_join(F.transform("__stay", lambda x: x["line"]), "\n"))
-            .select(*docs.columns, "__lines", "__dropped"))
+    stay = F.filter("parts", lambda x: ~x["full"] | F.array_contains(nos, x["no"]))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return (rows.join(kept, F.col("id").eqNullSafe(F.col("own")) & (F.xxhash64("text") == F.col("th")), "left")
+            .withColumn("parts", parts).withColumn("stay", stay)
+            .select("doc", "text",
+                    F.array_join(F.transform("stay", lambda x: x["line"]), "\n").alias("kept"),
+                    F.coalesce(F.size(F.filter("parts", lambda x: x["full"])), F.lit(0)).cast("long").alias("lines"),
+                    F.when(F.col("text").isNull(), 0).otherwise(F.size("parts") - F.size("stay"))
+                    .cast("long").alias("dropped")))
+
+
+def _columns(names: list[str], text_col: str) -> list[Column]:
+    return [(F.col("kept") if c == text_col else F.col("doc").getField(c)).alias(c) for c in names]
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          max_edits: int = 1, min_chars: int = 20, **options) -> DataFrame:
+    """``docs`` with ``text_col`` replaced by its kept lines, and the columns
+    ``__lines`` and ``__dropped`` (longs), in place of any of these names.
+
+    Lines of nothing but white space are kept and never compared.  A null text
+    stays null (0 lines).  Rows with a null id come after all others.  Rows that
+    repeat id and text are treated alike: both keep what one would.  Rows of one
+    id with different texts are ordered by line number, then by a hash of the
+    text.  Other columns pass through, whatever their names."""
+    names = [c for c in docs.columns if c not in ("__lines", "__dropped")]
+    return _judged(docs, id_col, text_col, max_edits, min_chars, **options).select(
+        *_columns(names, text_col), F.col("lines").alias("__lines"), F.col("dropped").alias("__dropped"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                        **options) -> DataFrame:
+                        max_edits: int = 1, min_chars: int = 20, **options) -> DataFrame:
     """``docs`` with the kept lines only, without the rows that lost lines and
     have none left but blank ones."""
-    out = dedup(docs, id_col, text_col, **options)
-    return out.where("__dropped = 0 or __dropped < __lines").select(*docs.columns)
+    out = _judged(docs, id_col, text_col, max_edits, min_chars, **options)
+    return out.where("dropped = 0 or dropped < lines").select(*_columns(docs.columns, text_col))
 
 
 ORACLE = r"""

@@ -88,3 +88,17 @@ def test_odd_rows(spark):
     assert left.columns == df.columns
     assert sorted(r.doc_id for r in left.collect()) == [1, 3, 4, 5, 6, 6, 7]
     assert L.dedup(df.limit(0)).count() == 0
+
+
+def test_any_column_names(spark):
+    line = "a line that is long enough to have near copies"
+    names = ["nos", "__nos", "__id", "__th", "__parts", "__stay", "__lines", "__dropped", "id", "own", "th", "doc",
+             "kept", "lines", "dropped", "h1", "a.b"]
+    df = spark.createDataFrame([(1, line, *names), (2, line + "s\nnew", *names)],
+                               ["doc_id", "text", *names])
+    got = {r[0]: tuple(r) for r in L.drop_repeated_lines(df).collect()}
+    assert got == {1: (1, line, *names), 2: (2, "new", *names)}
+    out = L.dedup(df)
+    assert out.columns == ["doc_id", "text", *(n for n in names if n not in ("__lines", "__dropped")),
+                           "__lines", "__dropped"]
+    assert sorted((r["doc_id"], r["__lines"], r["__dropped"]) for r in out.collect()) == [(1, 1, 0), (2, 2, 1)]
