@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,12 +34,18 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 NEW = np.int32(1 << 30)  # flag of a table entry: a phrase ends before this character
-_GAP = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(1)
+def _gap() -> re.Pattern:
+    """Runs of other than letters; numerals of any kind are none."""
+    numerals = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[\W_{re.escape(numerals)}]+")
 
 
 def normalise(text: str) -> str:
     """Lower case, one space for each run of other than letters."""
-    return _GAP.sub(" ", text.lower())
+    return _gap().sub(" ", text.lower())
 
 
 class Automaton:
@@ -210,19 +217,28 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     langs = max(1, named.select("lang").distinct().count())
     chars = min(train_chars, max(500, max_table_bytes // (langs * 8 * (letters + 1))))
     order = Window.partitionBy("lang").orderBy("h")
-    ranked = (named.select("lang", "h").distinct()
-              .withColumn("rank", F.row_number().over(order)))
+    texts = named.select("lang", "h").distinct()
+    sizes = F.broadcast(texts.groupBy("lang").agg(F.count("*").alias("__n")))  # a row a language
     rows = 32
     while True:  # at most ``chars`` rows a language, mostly the first 32
-        first = F.broadcast(ranked.where(F.col("rank") <= rows).select("lang", "h"))
-        sample = (named.join(first, ["lang", "h"])
+        # the hashes are uniform: those below a share of their range hold the first
+        # ``rows`` ones several times over, and only these are ranked
+        low = (F.least(F.lit(1.0), 8.0 * rows / F.col("__n")) - 0.5) * 2.0 ** 64
+        near = texts.join(sizes, "lang").where(F.col("h").cast("double") <= low)
+        first = (near.withColumn("rank", F.row_number().over(order))
+                 .where(F.col("rank") <= rows).select("lang", "h"))
+        before = F.coalesce(F.sum(F.char_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+                            F.lit(0))
+        # texts up to the one that reaches ``chars``: under 2 x chars characters a language
+        sample = (named.join(F.broadcast(first), ["lang", "h"])
                   .groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
-                  .collect())
-        texts: dict[str, list[str]] = {}
+                  .withColumn("text", F.regexp_replace("text", r"[^\p{L}]+", " "))
+                  .withColumn("before", before).where(F.col("before") < chars).collect())
+        taken: dict[str, list[str]] = {}
         for r in sorted(sample, key=lambda r: (r["lang"], r["h"])):
-            texts.setdefault(r["lang"], []).append(normalise(r["text"]))
-        joined = {lang: " ".join(t)[:chars] for lang, t in texts.items()}
-        if rows >= chars or all(len(joined[k]) >= chars or len(texts[k]) < rows for k in joined):
+            taken.setdefault(r["lang"], []).append(normalise(r["text"]))
+        joined = {lang: " ".join(t)[:chars] for lang, t in taken.items()}
+        if rows >= chars or all(len(joined[k]) >= chars or len(taken[k]) < rows for k in joined):
             return Model(joined, letters, block)
         rows *= 8
 
@@ -251,9 +267,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text",
 
     # not to be evaluated again for a filter on what it returns
     judged = judge.asNondeterministic()(F.col(text_col))
-    return (docs.withColumn("__judged", judged)
-            .withColumn(lang_out, F.col("__judged.lang"))
-            .withColumn(score_out, F.col("__judged.score")).drop("__judged"))
+    own = free_name("judged", docs)
+    return (docs.withColumn(own, judged)
+            .withColumn(lang_out, F.col(own).getField("lang"))
+            .withColumn(score_out, F.col(own).getField("score")).drop(own))
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """``name``, or with underscores before it, that ``docs`` has no column of."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
 
 
 def held_out(id_col: str = "doc_id"):

@@ -72,3 +72,25 @@ def test_scripts_outside_the_most_frequent_letters():
     model = L.Model({g: text(a, 3000) for g, a in words.items()})
     for g, a in words.items():
         assert model.predict([text(a, 20) for _ in range(10)])[0] == [g] * 10
+
+
+def test_numerals_are_no_letters_and_long_texts_stay_whole(spark):
+    train = [(i, "the and with this " * 5, "aa") for i in range(40)] + [(100 + i, "und der nicht auch " * 5, "bb")
+                                                                       for i in range(40)]
+    odd = [(200, "½ ²³", None), (201, "①②", None), (202, "Ⅷ ٣ 四", None), (203, "", None),
+           (204, " " * 1_000_000 + "und der", None), (205, "½nicht²auch", None)]
+    df = spark.createDataFrame(train + odd, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in L.identify(df).collect()}
+    assert [got[i] for i in (200, 201, 203)] == ["und"] * 3
+    assert got[204] == got[205] == "bb"
+    assert "四".isalpha() and got[202] != "und"  # a letter by category, though a numeral
+    assert L.normalise("½a²③b٣_c") == " a b c"
+
+
+def test_training_sample_is_the_same_on_any_partitioning(spark):
+    rows = [(f"{g} word{i} and some more of it", g) for i in range(1500) for g in ("aa", "bb")] + [("x", "cc")] * 900
+    df = spark.createDataFrame(rows, "text string, lang string")
+    a, b = (L.train(df.repartition(n), train_chars=3000) for n in (1, 7))
+    assert a.langs == b.langs == ["aa", "bb", "cc"]
+    for x, y in zip(a.autos, b.autos, strict=True):
+        assert (x.table == y.table).all()
