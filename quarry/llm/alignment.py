@@ -359,10 +359,13 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
 
     def seldom(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for row, raw in zip(pdf["row"], pdf["links"], strict=True):
                 codes, times, hit, *_ = find(raw)
-                if not hit.all():
-                    yield pd.DataFrame({"row": row, "code": codes[~hit], "times": times[~hit]})
+                out.append((np.full(np.count_nonzero(~hit), row, np.int64), codes[~hit], times[~hit]))
+            if out:
+                yield pd.DataFrame(dict(zip(("row", "code", "times"), map(np.concatenate, zip(*out, strict=True)),
+                                            strict=True)))
 
     rest = (done.select("row", "links").mapInPandas(seldom, "row long, code long, times long")
             .join(counts, "code").groupBy("row")

@@ -59,3 +59,10 @@ def test_pack_round_trip(spark):
             at += r.length
     assert (got.doc_id == 4).sum() == 2 * (got.doc_id == 4).sum() // 2
     assert P.pack(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "\n" * 1_000_000 + "x", "-" * 300_000, " \t" * 400_000,
+                                  "x" + " " * 700_000 + "<|endoftext|>"])
+def test_long_runs_encode_like_the_vocabulary(text):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert P.byte_bpe(text).tolist() == t.encode(text, add_special_tokens=False).ids
