@@ -27,9 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the predicted language."""
     _prepare(spark)
     model = langid.train(docs.where(~langid.held_out("doc_id")))
-    judged = langid.predict(docs, model, lang_out="__lang", score_out="__score")
-    return (judged.where(F.col("__lang") != langid.UNKNOWN)
-            .withColumn("lang", F.col("__lang")).select(*docs.columns))
+    lang, score = langid.free_name("lang_out", docs), langid.free_name("score_out", docs)
+    judged = langid.predict(docs, model, lang_out=lang, score_out=score)
+    return (judged.where(F.col(lang) != langid.UNKNOWN)
+            .withColumn("lang", F.col(lang)).select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
