@@ -229,12 +229,16 @@ def flat_knn(queries: DataFrame, corpus: DataFrame, k: int, *, q_id: str = "quer
 
 def bucketed_knn(corpus_b: DataFrame, probes: DataFrame, k: int, *, q_id: str, c_id: str,
                  kind: str, dim: int, c_type: str = "string", query_rows: int = QUERY_ROWS,
-                 corpus_rows: int = CORPUS_ROWS, dedupe: bool = False) -> DataFrame:
+                 corpus_rows: int = CORPUS_ROWS, dedupe: bool = False,
+                 written: bool = False) -> DataFrame:
     """corpus_b (bucket, c_id, vectors...), probes (bucket, q_id, vectors...)
     -> (q_id, rank, c_id, score): exact top-k among the probed buckets. The join
-    with the sizes of the probed buckets drops every other corpus row."""
+    with the sizes of the probed buckets drops every other corpus row. ``written``
+    says that corpus_b is a table on storage already."""
     vec_cols = ["vec"] if kind == "dense" else ["idx", "val"]
-    corpus_b = materialize(corpus_b.select("bucket", c_id, *vec_cols), "bucketed")
+    corpus_b = corpus_b.select("bucket", c_id, *vec_cols)
+    if not written:
+        corpus_b = materialize(corpus_b, "bucketed")
     probes = materialize(probes.select("bucket", q_id, *vec_cols), "probes")
 
     def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:

@@ -14,10 +14,11 @@ from quarry import oracle_sql as O
 from quarry.functions import text as TX
 from quarry.functions.vectors import l2_normalize
 from quarry.operators import analysis as AN
+from quarry.operators import bounded
 from quarry.operators import cache as CACHE
 from quarry.operators import containment as CONT
 from quarry.operators import encode as enc
-from quarry.operators import ivf, lsh
+from quarry.operators import ivf, lsh, postings
 from quarry.operators import metrics as M
 from quarry.operators import prepare as P
 from quarry.operators import rerank as rr
@@ -165,6 +166,33 @@ def q_search_flat(spark, d):
     return S.search_flat(P.test_queries(_test(spark, d)), idx, K)
 
 
+def text_postings(spark, d):
+    """Exact text search by posting lists, with its work, and the query keys."""
+    idx = _index(spark, d)
+    qv, mapping = S.encode_queries(P.test_queries(_test(spark, d)), idx.model)
+    return postings.search(qv, postings.build(idx.vectors, "product_id"), K, q_id="tkey",
+                           c_id="product_id", dim=idx.model.dim), mapping
+
+
+def text_bounded(spark, d):
+    """Exact text search over trained cells by bounds, with its work, and the query keys."""
+    idx = _index(spark, d)
+    cent = ivf.train(idx.vectors, "product_id", "sparse", DIM)
+    cells = ivf.assign(idx.vectors, cent, "product_id", "sparse", DIM)
+    qv, mapping = S.encode_queries(P.test_queries(_test(spark, d)), idx.model)
+    return bounded.search(qv, cells, cent, K, q_id="tkey", c_id="product_id", kind="sparse", dim=DIM), mapping
+
+
+def q_search_ivf_bounded(spark, d):
+    found, mapping = text_bounded(spark, d)
+    return mapping.join(found.hits, "tkey").select("query_id", "rank", "product_id", "score")
+
+
+def q_search_postings(spark, d):
+    found, mapping = text_postings(spark, d)
+    return mapping.join(found.hits, "tkey").select("query_id", "rank", "product_id", "score")
+
+
 def q_eval_metrics(spark, d):
     test = _test(spark, d)
     tq = P.test_queries(test)
@@ -199,6 +227,20 @@ def q_knn_ivf_all_cells(spark, d):
     return _ivf_search(spark, d, 10)
 
 
+def ivf_bounded(spark, d, nlist=ivf.NLIST):
+    """Exact search over trained cells by bounds, with its work per round."""
+    q, c = _vectors(spark, d)
+    c = c.select(F.col("vec_id").alias("cand_id"), "vec")
+    cent = ivf.train(c, "cand_id", "dense", 64, nlist=nlist)
+    index = ivf.assign(c, cent, "cand_id", "dense", 64)
+    return bounded.search(q.select(F.col("vec_id").alias("query_vec_id"), "vec"), index, cent, K,
+                          q_id="query_vec_id", c_id="cand_id", kind="dense", dim=64, c_type="long")
+
+
+def q_knn_ivf_bounded(spark, d):
+    return ivf_bounded(spark, d).hits
+
+
 def q_ivf_short_lists(spark, d):
     r = _ivf_search(spark, d, 1, k=50)
     return r.groupBy("query_vec_id").agg(F.count(F.lit(1)).alias("n_results"))
@@ -291,8 +333,8 @@ def q_sample_frac(spark, d):
 
 
 def q_prepare_dataset(spark, d):
-    """C1 with a 10 % sample: the de-duplicated products of the sample."""
-    return P.unique_products(_prepared(spark, d, frac=0.1))
+    """The de-duplicated products of the prepared data."""
+    return P.unique_products(_prepared(spark, d))
 
 
 def q_first_per_query(spark, d):
@@ -541,6 +583,18 @@ def q_passage_knn(spark, d):
     return mapping.join(hits, "tkey").select("item_id", "rank", "doc_id", "score")
 
 
+def passage_postings(spark, d):
+    """Exact passage search by posting lists, with its work, and the query keys."""
+    idx, qv, mapping = _passages(spark, d)
+    return postings.search(qv, postings.build(idx.vectors, "doc_id"), K, q_id="tkey", c_id="doc_id",
+                           dim=idx.model.dim, c_type="long"), mapping
+
+
+def q_passage_knn_postings(spark, d):
+    found, mapping = passage_postings(spark, d)
+    return mapping.join(found.hits, "tkey").select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {
     "scan_judgments": q_scan_judgments,
     "scan_catalog": q_scan_catalog,
@@ -553,10 +607,13 @@ QUERIES = {
     "knn_flat": q_knn_flat,
     "knn_flat_block": q_knn_flat_block,
     "search_flat": q_search_flat,
+    "search_postings": q_search_postings,
+    "search_ivf_bounded": q_search_ivf_bounded,
     "eval_metrics": q_eval_metrics,
     "ivf_assign": q_ivf_assign,
     "knn_ivf": q_knn_ivf,
     "knn_ivf_all_cells": q_knn_ivf_all_cells,
+    "knn_ivf_bounded": q_knn_ivf_bounded,
     "ivf_short_lists": q_ivf_short_lists,
     "ivf_train": q_ivf_train,
     "knn_lsh": q_knn_lsh,
@@ -595,6 +652,7 @@ QUERIES = {
     "best_run": q_best_run,
     "index_append": q_index_append,
     "passage_knn": q_passage_knn,
+    "passage_knn_postings": q_passage_knn_postings,
     "eval_ivf_rerank": q_eval_ivf_rerank,
     "ivf_index_roundtrip": q_ivf_index_roundtrip,
     "model_names": q_model_names,
@@ -719,9 +777,6 @@ def _oracle() -> dict[str, str]:
                  "join texts_basic t on t.product_id = p.product_id where p.rank = 1"),
         "prepared_s": ("select * from prepared where ('0x' || substr(md5('42-' || "
                        "example_id::VARCHAR), 1, 8))::BIGINT / 4294967296e0 < 0.1e0"),
-        "uniq_s": ("select product_id, product_title, product_description, product_bullet_point,"
-                   " product_brand, product_color from (select *, row_number() over (partition "
-                   "by product_id order by example_id) rn0 from prepared_s) where rn0 = 1"),
         "tset": ("select * from merged where split = 'test' and small_version = 1 and "
                  "product_locale = 'us'"),
         "fpq": "select query_id, " + ", ".join(
@@ -796,7 +851,7 @@ def _oracle() -> dict[str, str]:
         "unique_products": O.cte(prep + ["uniq"], body="select * from uniq"),
         "relevant_set": O.cte(test + ["relevant"], body="select * from relevant"),
         "sample_frac": O.cte(prep + ["prepared_s"], ext, "select * from prepared_s"),
-        "prepare_dataset": O.cte(prep + ["prepared_s", "uniq_s"], ext, "select * from uniq_s"),
+        "prepare_dataset": O.cte(prep + ["uniq"], body="select * from uniq"),
         "first_per_query": O.cte(base + ["tset", "fpq"], ext, "select * from fpq"),
         "sample_queries_n": O.cte(base + ["tset", "fpq", "smp"], ext, "select * from smp"),
         "ground_truth_map": O.cte(test, body="select query_id, esci_label label, product_id, "
@@ -855,6 +910,8 @@ def _oracle() -> dict[str, str]:
                              "count(distinct sha256(text)) entries from texts_basic"),
         "passage_relevance": O.cte(["prel"], ext, "select * from prel"),
         "passage_eval": O.cte(passage_names + ["prel", "pe_pq"], ext, _PASSAGE_METRICS),
+        "passage_knn_postings": O.cte(passage_names, ext, "select item_id, rank, doc_id, "
+                                      "round(score, 6) score from pk"),
         "passage_knn": O.cte(passage_names, ext, "select item_id, rank, doc_id, round(score, 6) "
                              "score from pk"),
         "knn_flat": O.cte(list(vec), ext, topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
@@ -863,6 +920,8 @@ def _oracle() -> dict[str, str]:
                          topk.format(q="query_vec_id", c="cand_id", src="ivf2", k=K)),
         "knn_flat_block": O.cte(list(vec), ext,
                                 topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
+        "knn_ivf_bounded": O.cte(list(vec), ext,
+                                 topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
         "knn_ivf_all_cells": O.cte(list(vec), ext,
                                    topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
         "ivf_short_lists": O.cte(ivf_base + ["prb1", "ivf1"], ext,
@@ -889,6 +948,10 @@ def _oracle() -> dict[str, str]:
                                "t.product_id = r.product_id where r.rank <= 5"),
         "search_flat": O.cte(srch, ext,
                              "select query_id, rank, product_id, round(score, 6) score from preds"),
+        "search_postings": O.cte(srch, ext,
+                                 "select query_id, rank, product_id, round(score, 6) score from preds"),
+        "search_ivf_bounded": O.cte(srch, ext,
+                                    "select query_id, rank, product_id, round(score, 6) score from preds"),
         "eval_metrics": O.cte(srch + ["relevant"], ext, _METRICS_BODY),
     }
 
