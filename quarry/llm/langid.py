@@ -36,16 +36,23 @@ UNKNOWN = "und"
 NEW = np.int32(1 << 30)  # flag of a table entry: a phrase ends before this character
 
 
+_GAP = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(1)
-def _gap() -> re.Pattern:
-    """Runs of other than letters; numerals of any kind are none."""
-    numerals = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[\W_{re.escape(numerals)}]+")
+def _numerals() -> frozenset[str]:
+    """Characters that an expression takes for word characters and that are no letters."""
+    return frozenset(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha())
 
 
 def normalise(text: str) -> str:
-    """Lower case, one space for each run of other than letters."""
-    return _gap().sub(" ", text.lower())
+    """Lower case, one space for each run of other than letters; numerals of any
+    kind are no letters."""
+    low = text.lower()
+    if not low.isascii():
+        for c in _numerals().intersection(set(low)):
+            low = low.replace(c, " ")
+    return _GAP.sub(" ", low)
 
 
 class Automaton:
