@@ -9,15 +9,13 @@ import zipfile
 
 __version__ = "0.1.0"
 
-_SHIPPED: set[int] = set()
-
 
 def ship(spark) -> None:
     """Make the package importable in Python workers (``addPyFile`` of a
     zip of this package, once per SparkContext) -- the programmatic form
     of ``--py-files``."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "quarry_shipped", False):  # on the context itself: a new one has no mark
         return
     root = os.path.dirname(os.path.abspath(__file__))
     fd, path = tempfile.mkstemp(prefix="quarry-", suffix=".zip")
@@ -29,4 +27,4 @@ def ship(spark) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
+    sc.quarry_shipped = True
