@@ -16,7 +16,9 @@ in length taken off), which is the set of places that are probed.
    two different lines meet (narrow rows, pre-aggregated);
 2. lines are scanned again and only those with such a key go on; word parities
    (an edit changes at most three words) discard most pairs inside the join;
-3. banded bit-parallel edit distance verifies the rest: the band of
+   a key that very many lines share (templates, log lines) is split: the rest of
+   its lines is cut into segments and probed in its turn, round by round;
+3. banded bit-parallel edit distance verifies what is left: the band of
    2 * max_edits + 1 diagonals is one word, moved along the diagonal.
 
 Only built-in expressions are used.  A frequent line is one distinct line.
@@ -133,10 +135,97 @@ def _hashes() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")]
 
 
+def _met(held: DataFrame, parities: int, letters: int | None = None) -> DataFrame:
+    """Different lines that meet under a key, the longer one probed (of equal ones
+    the one of the lesser hashes), whose word
+    parities (and letter parities, if asked for) differ in few places."""
+    extra = [] if letters is None else ["letters"]
+    index = held.where(~F.col("probe")).select("k", *(F.col(c).alias(f"i_{c}") for c in
+                                                      ("line", "h1", "h2", "sig", *extra)))
+    pairs = (held.where("probe").join(index, "k")
+             .where("char_length(line) > char_length(i_line) or char_length(line) = char_length(i_line)"
+                    " and (h1 < i_h1 or h1 = i_h1 and h2 < i_h2)")
+             .where(F.bit_count(F.col("sig").bitwiseXOR(F.col("i_sig"))) <= parities))
+    if extra:
+        pairs = pairs.where(F.bit_count(F.col("letters").bitwiseXOR(F.col("i_letters"))) <= letters)
+    return pairs.select("line", "h1", "h2", "i_line", "i_h1", "i_h2")
+
+
+def _rest_keys(edits: int, top: bool) -> Column:
+    """array<struct<k long, rest string>> of a row (k, probe, less, rest): the keys
+    of the segments of ``rest`` and what is left when a segment is taken out; null
+    where a place lies outside.  ``less`` is the number of characters that the
+    other line has fewer, zero for a row that is not probed."""
+    k, n = edits + 1, F.char_length("rest")
+
+    def cell(when: Column, size: Column, i: int, at: Column) -> Column:
+        length = _cut(size, i + 1, k) - _cut(size, i, k)
+        under = [] if top else [F.col("k")]
+        key = F.xxhash64(*under, size, F.lit(i), F.substring("rest", at + 1, length))
+        left = F.concat(F.substring("rest", F.lit(1), at), F.substring("rest", at + length + 1, n))
+        return F.when(when & (at >= 0) & (at + length <= n),
+                      F.struct(key.alias("k"), left.alias("rest")))
+
+    out = [cell(~F.col("probe"), n, i, _cut(n, i, k)) for i in range(k)]
+    for less in range(edits + 1):
+        for i in range(k):
+            after = edits - i
+            for shift in range(max(-i, less - after), min(i, less + after) + 1):
+                out.append(cell(F.col("probe") & (F.col("less") == less), n - less, i,
+                                _cut(n - less, i, k) + shift))
+    return F.array(*out)
+
+
+def _letter_parity(line: Column) -> Column:
+    """64 parities of the hashed letters of a line; an edit changes at most two."""
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(c), F.lit(64)))))
+
+
+def _hot_pairs(held: DataFrame, hot: DataFrame, edits: int, min_chars: int,
+               split_pairs: int) -> DataFrame:
+    """What ``_met`` gives under the hot keys, less pairs that cannot be near.
+
+    Lines that share a segment are within ``edits`` edits only if what is left of
+    them without it is, too; so the rest is cut into segments and probed again,
+    and a pair must share the key of such a segment besides.  Keys that are still
+    hot are split in the same way, until few pairs meet or the rest has no more
+    characters than edits are allowed.  Every round shortens the rest."""
+    carried = ("line", "h1", "h2", "sig", "letters")
+    lines = (held.select("line", "h1", "h2", "sig").distinct()
+             .withColumn("letters", _letter_parity(F.col("line"))))
+    role = lambda probe, less: F.struct(F.lit(probe).alias("probe"), F.lit(less).alias("less"))
+    roles = F.array(role(False, 0), *(role(True, less) for less in range(edits + 1)))
+    rows = (lines.select(*carried, F.col("line").alias("rest"), F.explode(roles).alias("r"))
+            .select(*carried, "rest", "r.*").where(F.char_length("rest") - F.col("less") >= min_chars)
+            .withColumn("k", F.lit(0).cast("long")))
+
+    def narrower(rows: DataFrame, top: bool) -> DataFrame:
+        return (rows.select(*carried, "probe", "less", F.explode(_rest_keys(edits, top)).alias("x"))
+                .where("x is not null").select(*carried, "probe", "less", "x.*"))
+
+    rows = narrower(rows, top=True).join(hot, "k")
+    found = []
+    while True:
+        # rows that share the key of a parent have rests of one length but for ``less``
+        rows = materialize(narrower(rows, top=False).distinct(), "line-rests")
+        size = F.max(F.char_length("rest") - F.col("less"))
+        pairs = F.count_if("probe") * F.count_if(~F.col("probe"))
+        keys = materialize(rows.groupBy("k").agg(pairs.alias("n"), size.alias("size")).where("n > 0")
+                           .select("k", ((F.col("n") > split_pairs) & (F.col("size") > edits)).alias("hot")),
+                           "line-rest-keys")
+        cold = rows.join(keys.where("not hot"), "k")
+        found.append(materialize(_met(cold, 3 * edits, 2 * edits), "line-rest-pairs"))
+        if keys.where("hot").isEmpty():
+            return reduce(DataFrame.union, found)
+        rows = rows.join(keys.where("hot").select("k"), "k")
+
+
 def near_pairs(lines: DataFrame, max_edits: int = 1, min_chars: int = 20,
-               max_broadcast_rows: int = 1_000_000) -> DataFrame:
+               max_broadcast_rows: int = 1_000_000, split_pairs: int = 4096) -> DataFrame:
     """(h1, h2, g1, g2): pairs of different lines (column ``line``) within
-    ``max_edits`` edits, each once, either way round."""
+    ``max_edits`` edits, each once, either way round.  A key under which more than
+    ``split_pairs`` pairs meet is split by the rest of its lines."""
     # n is a column of its own: the keys use it many times
     long = lines.select("line", F.char_length("line").alias("n")).where(F.col("n") >= min_chars)
     keys = F.explode(_segment_keys(F.col("line"), F.col("n"), max_edits, min_chars)).alias("x")
@@ -152,12 +241,18 @@ def near_pairs(lines: DataFrame, max_edits: int = 1, min_chars: int = 20,
             .select("line", "x.*").join(meet, "k").distinct()
             .select("k", "probe", "line", *_hashes(), _word_parity(F.col("line")).alias("sig")))
     held = materialize(held, "line-segments")
-    index = held.where(~F.col("probe")).select("k", *(F.col(c).alias(f"i_{c}") for c in
-                                                      ("line", "h1", "h2", "sig")))
-    pairs = (held.where("probe").join(index, "k")
-             .where("(h1 <> i_h1 or h2 <> i_h2) and char_length(line) >= char_length(i_line)")
-             .where(F.bit_count(F.col("sig").bitwiseXOR(F.col("i_sig"))) <= 3 * max_edits)
-             .select("line", "h1", "h2", "i_line", "i_h1", "i_h2").distinct())
+    near = 3 * max_edits
+    counts = (held.groupBy("k").agg((F.count_if("probe") * F.count_if(~F.col("probe"))).alias("n"))
+              .where(F.col("n") > split_pairs).select("k"))
+    hot = materialize(counts, "line-hot-keys")
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= max_broadcast_rows else hot
+        pairs = (_met(held.join(hot, "k", "left_anti"), near)
+                 .union(_hot_pairs(held.join(hot, "k"), hot, max_edits, min_chars, split_pairs)))
+    else:
+        pairs = _met(held, near)
+    pairs = pairs.distinct()
     # written, so that the filter is not pushed into the fold's inputs
     near = materialize(with_edit_distance(pairs, "i_line", "line", max_edits, "edits")
                        .drop("line", "i_line"), "line-pairs").where("edits is not null")

@@ -102,3 +102,18 @@ def test_any_column_names(spark):
     assert out.columns == ["doc_id", "text", *(n for n in names if n not in ("__lines", "__dropped")),
                            "__lines", "__dropped"]
     assert sorted((r["doc_id"], r["__lines"], r["__dropped"]) for r in out.collect()) == [(1, 1, 0), (2, 2, 1)]
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_hot_segments_split_to_the_same_pairs(spark, edits):
+    rng = random.Random(edits)
+    head = "the same opening of every line "
+    lines = [head + "".join(rng.choice("ab é") for _ in range(9)) for _ in range(60)]
+    lines += [mutate(rng, rng.choice(lines), rng.randrange(1, edits + 2)) for _ in range(60)]
+    lines = sorted({x for x in lines if len(x) >= 20})
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    names = {(r.h1, r.h2): r.line for r in df.select("line", *L._hashes()).collect()}
+    got = [frozenset((names[r.h1, r.h2], names[r.g1, r.g2]))
+           for r in L.near_pairs(df, edits, 20, split_pairs=4).collect()]
+    want = {frozenset((a, b)) for a in lines for b in lines if a < b and distance(a, b) <= edits}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
