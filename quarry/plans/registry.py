@@ -23,6 +23,7 @@ from quarry.operators import metrics as M
 from quarry.operators import prepare as P
 from quarry.operators import rerank as rr
 from quarry.operators.knn import flat_knn
+from quarry.plans import index_change as CHANGE
 from quarry.plans import index_store as STORE
 from quarry.plans import runs as RUNS
 from quarry.plans import search as S
@@ -473,6 +474,32 @@ def q_index_stats(spark, d):
     return STORE.index_stats(spark, f"{root}/{fp}").select("table", "n_rows")
 
 
+def _catalogue_states(spark, d):
+    """Three states of the catalogue's texts: products judged in train, products
+    judged in test (other texts of them), and all."""
+    prep = _prep_ck(spark, d)
+    return (materialize(S.product_texts(P.split(prep, "train"), "basic"), "texts"),
+            materialize(S.product_texts(P.split(prep, "test"), "enhanced"), "texts"),
+            materialize(S.product_texts(prep, "basic"), "texts"))
+
+
+def q_index_changes(spark, d):
+    """A3: what a patch of the first state's index to the second has to write."""
+    first, second, _ = _catalogue_states(spark, d)
+    return CHANGE.diff(first, second)
+
+
+def q_search_index_patched(spark, d):
+    """The index of the first state, patched twice, then searched; equal
+    to the search of an index built from the last state."""
+    first, second, last = _catalogue_states(spark, d)
+    path = _scratch(spark, "index-followed")
+    STORE.save_index(S.build_text_index(first, DIM), path, {"dim": DIM}, "base")
+    CHANGE.patch(spark, path, second)
+    index = CHANGE.follow(spark, path, last)
+    return S.search_flat(P.test_queries(_test(spark, d)), index, K)
+
+
 def q_results_sink(spark, d):
     metrics = q_eval_metrics(spark, d)
     out = RUNS.save_results(metrics, _scratch(spark, "results"))
@@ -647,6 +674,8 @@ QUERIES = {
     "cache_inventory": q_cache_inventory,
     "index_roundtrip": q_index_roundtrip,
     "index_stats": q_index_stats,
+    "index_changes": q_index_changes,
+    "search_index_patched": q_search_index_patched,
     "results_sink": q_results_sink,
     "run_comparison": q_run_comparison,
     "best_run": q_best_run,
@@ -798,6 +827,8 @@ def _oracle() -> dict[str, str]:
                       "row_number() over (partition by product_id order by example_id) rn0 "
                       "from prepared where split = 'train') where rn0 = 1")
     ext["tr_texts"] = f"select product_id, {O.BASIC} text from tr_uniq"
+    ext["te_uniq"] = ext["tr_uniq"].replace("'train'", "'test'")
+    ext["te_texts"] = f"select product_id, {O.ENHANCED} text from te_uniq"
     ext.update(O.encoder("ap", "tr_texts", "product_id", DIM))
     ext["nw_texts"] = (f"select product_id, {O.BASIC} text from uniq where product_id not in "
                        "(select product_id from tr_uniq)")
@@ -883,6 +914,14 @@ def _oracle() -> dict[str, str]:
                                  "coalesce(v.nnz, 0) nnz from texts_basic t left join (select "
                                  "product_id, count(*) nnz from pv_vec group by all) v "
                                  "on v.product_id = t.product_id)"),
+        "index_changes": O.cte(prep + ["tr_uniq", "tr_texts", "te_uniq", "te_texts"], ext,
+                               "select coalesce(a.product_id, b.product_id) product_id, case when "
+                               "a.product_id is null then 'added' when b.product_id is null then "
+                               "'deleted' else 'changed' end change from tr_texts a full join "
+                               "te_texts b on a.product_id = b.product_id where a.product_id is null "
+                               "or b.product_id is null or a.text <> b.text"),
+        "search_index_patched": O.cte(srch, ext, "select query_id, rank, product_id, "
+                                      "round(score, 6) score from preds"),
         "index_stats": O.cte(prep + idx_names, ext,
                              "select 'texts' \"table\", count(*) n_rows from texts_basic union all "
                              "select 'vectors', count(*) from texts_basic union all "
