@@ -49,6 +49,44 @@ def sample_fraction(df: DataFrame, frac: float | None, key: str = "example_id",
     return df.where(unit_hash(F.col(key), seed) < F.lit(float(frac)))
 
 
+def sample_exact(df: DataFrame, frac: float, key: str = "example_id",
+                 seed: int = SAMPLE_SEED) -> DataFrame:
+    """P1 with an exact size: ``round(frac * n)`` of the n rows, the least by
+    md5(seed-key), then by a digest of the row; the same rows for any partitioning.
+
+    No sort: rows are counted by the next four hexadecimal digits of their hash (at
+    most 65,536 counts), the bin in which the sample ends is found, and only that bin
+    is counted again by further digits, until the end falls between two bins.  Then
+    one comparison with a constant makes the sample.  Each round scans ``df``; four
+    digits suffice per factor of 65,536 in rows.  A null key hashes as an empty one.
+    Rows that are equal in every column are interchangeable: where the sample ends
+    among them, any of them fill it."""
+    if not (0.0 < frac <= 1.0):
+        raise ValueError("sample fraction must be in (0, 1]")
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    of_key = F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+
+    def digits(upto: int):  # the row's digest is computed only where the key's ends
+        first = F.substring(of_key, 1, min(upto, 32))
+        return first if upto <= 32 else F.concat(first, F.substring(F.md5(row), 1, upto - 32))
+
+    cut, left = "", round(frac * df.count())
+    while len(cut) < 64:
+        at = len(cut)
+        inside = df if not cut else df.where(digits(at) == cut)
+        bins = inside.groupBy(digits(at + 4).alias("bin")).count().collect()  # at most 65,536
+        for bin_, n in sorted((b["bin"], b["count"]) for b in bins):
+            if n > left:
+                cut = bin_
+                break
+            left -= n
+        else:
+            return df  # all rows
+        if left == 0:  # the sample ends before this bin
+            return df.where(digits(len(cut)) < cut)
+    return df.where(digits(64) < cut).unionByName(df.where(digits(64) == cut).limit(left))
+
+
 def prepare_dataset(judgments: DataFrame, catalog: DataFrame, version: str = "small",
                     locale: str = "us", sample_frac: float | None = None) -> DataFrame:
     """J1 -> F1 -> F2 -> P1."""

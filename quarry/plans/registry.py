@@ -333,6 +333,11 @@ def q_sample_frac(spark, d):
     return _prepared(spark, d, frac=0.1)
 
 
+def q_sample_exact(spark, d):
+    """A tenth of the prepared judgments, to the row."""
+    return P.sample_exact(materialize(_prepared(spark, d), "prepared"), 0.1)
+
+
 def q_prepare_dataset(spark, d):
     """The de-duplicated products of the prepared data."""
     return P.unique_products(_prepared(spark, d))
@@ -655,6 +660,7 @@ QUERIES = {
     "unique_products": q_unique_products,
     "relevant_set": q_relevant_set,
     "sample_frac": q_sample_frac,
+    "sample_exact": q_sample_exact,
     "prepare_dataset": q_prepare_dataset,
     "first_per_query": q_first_per_query,
     "sample_queries_n": q_sample_queries_n,
@@ -882,6 +888,8 @@ def _oracle() -> dict[str, str]:
         "unique_products": O.cte(prep + ["uniq"], body="select * from uniq"),
         "relevant_set": O.cte(test + ["relevant"], body="select * from relevant"),
         "sample_frac": O.cte(prep + ["prepared_s"], ext, "select * from prepared_s"),
+        "sample_exact": O.cte(prep, body="select * from prepared qualify row_number() over (order by "
+                              "md5('42-' || example_id::VARCHAR)) <= round_even(0.1 * count(*) over (), 0)"),
         "prepare_dataset": O.cte(prep + ["uniq"], body="select * from uniq"),
         "first_per_query": O.cte(base + ["tset", "fpq"], ext, "select * from fpq"),
         "sample_queries_n": O.cte(base + ["tset", "fpq", "smp"], ext, "select * from smp"),
