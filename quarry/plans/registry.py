@@ -18,7 +18,7 @@ from quarry.operators import bounded
 from quarry.operators import cache as CACHE
 from quarry.operators import containment as CONT
 from quarry.operators import encode as enc
-from quarry.operators import ivf, lsh, postings
+from quarry.operators import graph, ivf, lsh, postings
 from quarry.operators import metrics as M
 from quarry.operators import prepare as P
 from quarry.operators import rerank as rr
@@ -269,6 +269,32 @@ def q_knn_lsh(spark, d):
                       bands=16, rows=4, c_type="long")
 
 
+def vector_graph(spark, d, starts=None):
+    """The neighbour graph of ``embeddings`` and the query set's search in it."""
+    q, c = _vectors(spark, d)
+    g = graph.build(c.select(F.col("vec_id").alias("cand_id"), "vec"), "cand_id", "dense", 64, starts=starts)
+    return graph.search(q.select(F.col("vec_id").alias("query_vec_id"), "vec"), g, K,
+                        q_id="query_vec_id", c_id="cand_id", kind="dense", dim=64)
+
+
+def q_knn_graph(spark, d):
+    return vector_graph(spark, d).hits
+
+
+def q_knn_graph_recall(spark, d):
+    """Rows of the exact search, and whether the graph finds nine in ten."""
+    true = q_knn_flat(spark, d).select("query_vec_id", "cand_id")
+    found = q_knn_graph(spark, d).select("query_vec_id", "cand_id").withColumn("found", F.lit(1))
+    return (true.join(found, ["query_vec_id", "cand_id"], "left")
+            .agg(F.count("*").alias("n_true"), (F.count("found") >= 0.9 * F.count("*")).alias("reached")))
+
+
+def q_knn_graph_all_starts(spark, d):
+    """Every node as a start: the beam begins with the exact answer."""
+    n = tables.table(spark, d, "embeddings").count()
+    return vector_graph(spark, d, starts=n).hits
+
+
 def q_l2_normalize(spark, d):
     e = tables.table(spark, d, "embeddings").select("vec_id", l2_normalize("embedding").alias("v"))
     return e.select("vec_id", F.posexplode("v").alias("j", "x")) \
@@ -649,6 +675,9 @@ QUERIES = {
     "ivf_short_lists": q_ivf_short_lists,
     "ivf_train": q_ivf_train,
     "knn_lsh": q_knn_lsh,
+    "knn_graph": q_knn_graph,
+    "knn_graph_recall": q_knn_graph_recall,
+    "knn_graph_all_starts": q_knn_graph_all_starts,
     "l2_normalize": q_l2_normalize,
     "candidate_texts": q_candidate_texts,
     "bm25_pairs": q_bm25_pairs,
@@ -971,6 +1000,10 @@ def _oracle() -> dict[str, str]:
                                  topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
         "knn_ivf_all_cells": O.cte(list(vec), ext,
                                    topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
+        "knn_graph_all_starts": O.cte(list(vec), ext,
+                                      topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
+        "knn_graph_recall": O.cte(list(vec), ext, "select count(*) n_true, true reached from (" +
+                                  topk.format(q="query_vec_id", c="cand_id", src="evs", k=K) + ")"),
         "ivf_short_lists": O.cte(ivf_base + ["prb1", "ivf1"], ext,
                                  "select query_vec_id, count(*) n_results from (" +
                                  topk.format(q="query_vec_id", c="cand_id", src="ivf1", k=50) +

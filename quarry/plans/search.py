@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import product_text
 from quarry.operators import encode as enc
 from quarry.operators import rerank as rr
+from quarry.operators.graph import Graph
 from quarry.operators.knn import flat_knn
 from quarry.operators.prepare import unique_products
 from quarry.session import materialize as materialize_df
@@ -31,6 +32,7 @@ class TextIndex:
     n_tokens: int | None = None
     cells: DataFrame | None = None      # product_id, idx, val, bucket (IVF)
     centroids: DataFrame | None = None  # cell, vec (IVF)
+    graph: Graph | None = None          # neighbour graph over the vectors
 
     def total_tokens(self) -> int:
         """Corpus length in tokens (for BM25's average document length)."""
