@@ -261,6 +261,36 @@ def q_ivf_train(spark, d):
     return cells.join(found)   # one row each
 
 
+def q_ivf_step(spark, d):
+    """One training step from fixed centres: the new centres, with the members of
+    each cell and the mean cosine to the centre before it."""
+    q, index, cent = _ivf_fixed(spark, d)
+    cells, start = ivf._centroid_matrix(cent)
+    rows = index.select(F.col("cand_id").alias("id"), "vec")
+    new = ivf.step(rows.select("vec"), start, "dense", 64)
+    made = spark.createDataFrame([(int(c), i, v.tolist()) for i, (c, v) in enumerate(zip(cells, new, strict=True))],
+                                 "cell int, nth int, centre array<double>")   # one row a cell
+    own = (ivf.nearest(rows, start, "id", "dense", 64).groupBy(F.col("cell").alias("nth"))
+           .agg(F.count("*").alias("n"), F.round(1 - F.avg("far"), 6).alias("cosine")))
+    return made.join(own, "nth").select("cell", "n", "cosine", F.posexplode("centre").alias("j", "x")) \
+        .select("cell", "n", "cosine", "j", F.round("x", 6).alias("x"))
+
+
+def q_ivf_seeded(spark, d):
+    """Mean distance to the nearest of 64 centres: by hash, seeded, and both trained."""
+    c = materialize(_vectors(spark, d)[1].select("vec_id", "vec"), "seed-input")
+    seeded = ivf.seeds(c, "vec_id", "dense", 64, nlist=64)
+    found = [("hash", 0, None), ("seeded", 0, seeded), ("hash", 10, None), ("seeded", 10, seeded)]
+    out = []
+    for name, iterations, centres in found:
+        cent = ivf.train(c, "vec_id", "dense", 64, nlist=64, iterations=iterations, centres=centres)
+        m = ivf._centroid_matrix(cent)[1]
+        out.append(ivf.nearest(c, m, "vec_id", "dense", 64).agg(
+            F.lit(name).alias("first"), F.lit(iterations).alias("iterations"), F.lit(len(m)).alias("n_cells"),
+            F.round(F.avg("far"), 6).alias("far")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 def q_knn_lsh(spark, d):
     q, c = _vectors(spark, d)
     return lsh.search(q.select(F.col("vec_id").alias("query_vec_id"), "vec"),
@@ -675,6 +705,8 @@ QUERIES = {
     "ivf_short_lists": q_ivf_short_lists,
     "ivf_train": q_ivf_train,
     "knn_lsh": q_knn_lsh,
+    "ivf_step": q_ivf_step,
+    "ivf_seeded": q_ivf_seeded,
     "knn_graph": q_knn_graph,
     "knn_graph_recall": q_knn_graph_recall,
     "knn_graph_all_starts": q_knn_graph_all_starts,
@@ -773,6 +805,13 @@ def _oracle() -> dict[str, str]:
         ivf_f[f"ivf{n}"] = (f"select p.query_vec_id, a.cand_id, s.score from prb{n} p "
                             "join asg a on a.cell = p.cell join evs s on "
                             "s.query_vec_id = p.query_vec_id and s.cand_id = a.cand_id")
+    ivf_f["st_near"] = ("select * from (select c.cand_id, c.vec, t.cell, " + dotf.format(a="c.vec", b="t.vec") +
+                        " s, sqrt(list_sum(list_transform(c.vec, lambda x: x::DOUBLE * x::DOUBLE))) n_vec, "
+                        "row_number() over (partition by c.cand_id order by s desc, t.cell) r "
+                        "from evc c cross join cent t) where r = 1")
+    ivf_f["st_cell"] = "select cell, count(*) n, round(avg(s / n_vec), 6) cosine from st_near group by cell"
+    ivf_f["st_sum"] = ("select cell, j, sum(x) x from (select cell, unnest(list_transform(vec, lambda v: "
+                       "v::DOUBLE / n_vec)) x, unnest(range(len(vec)))::INTEGER j from st_near) group by cell, j")
     ivf_base = list(vec) + ["cent", "asg"]
     lsh_f = {
         "pl": ("select p, j, case when ('0x' || substr(md5(p::VARCHAR || '-' || j::VARCHAR), "
@@ -1000,6 +1039,9 @@ def _oracle() -> dict[str, str]:
                                  topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
         "knn_ivf_all_cells": O.cte(list(vec), ext,
                                    topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
+        "ivf_step": O.cte(list(vec) + ["cent", "st_near", "st_cell", "st_sum"], ext,
+                          "select s.cell, n, cosine, j, round(x / sqrt(sum(x * x) over (partition by s.cell)), 6) x "
+                          "from st_sum s join st_cell c using (cell)"),
         "knn_graph_all_starts": O.cte(list(vec), ext,
                                       topk.format(q="query_vec_id", c="cand_id", src="evs", k=K)),
         "knn_graph_recall": O.cte(list(vec), ext, "select count(*) n_true, true reached from (" +

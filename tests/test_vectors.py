@@ -166,3 +166,28 @@ def test_sparse_block_memory_is_bounded():
     assert tracemalloc.get_traced_memory()[1] < 200 << 20
     tracemalloc.stop()
     assert best["cid"].tolist() == [5, 5 + dim, 5 + 2 * dim]
+
+
+def test_seeds_find_every_group_and_training_lowers_the_distance(spark):
+    """Groups of very unequal size: draws by distance reach the small ones."""
+    rng = np.random.default_rng(7)
+    centre = np.eye(12)
+    group = np.r_[np.zeros(900, int), rng.integers(1, 12, 100), np.arange(1, 12)]
+    x = centre[group] + 0.02 * rng.normal(size=(len(group), 12))
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(9_000, [0.0] * 12), (9_001, None)]
+    df = spark.createDataFrame(data, "id long, vec array<float>")
+    first = ivf.seeds(df, "id", "dense", 12, nlist=12)
+    assert first.shape == (12, 12) and sorted(first.argmax(axis=1)) == list(range(12))
+    again = ivf.seeds(df.repartition(7), "id", "dense", 12, nlist=12)
+    assert np.allclose(first, again)
+
+    def far(centres):
+        near = ivf.nearest(df.where("id < 9000"), centres, "id", "dense", 12)
+        return near.agg(F.avg("far")).first()[0]
+
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    new = ivf.step(df.where("id < 9000").select("vec"), first, "dense", 12)
+    assert abs(far(first) - (1 - (unit @ first.T).max(axis=1)).mean()) < 1e-6 and far(new) <= far(first)
+    assert ivf.seeds(df.limit(0), "id", "dense", 12).shape == (0, 12)
+    few = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)], "id long, vec array<float>")
+    assert len(ivf.seeds(few, "id", "dense", 2, nlist=8)) == 1
