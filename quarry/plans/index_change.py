@@ -94,7 +94,7 @@ def patch(spark: SparkSession, path: str, texts: DataFrame) -> int:
     come = changes.where(F.col("change") != DELETED).select("product_id")
     _texts(texts).join(come, "product_id", "left_semi").write.mode("overwrite").parquet(f"{at}/texts")
     fresh = spark.read.parquet(f"{at}/texts")
-    enc.term_counts(fresh, "product_id").write.mode("overwrite").parquet(f"{at}/terms")
+    enc.term_counts(fresh, "product_id", unique=True).write.mode("overwrite").parquet(f"{at}/terms")
     gone = _live(spark, path, "terms", gens).join(dead, "product_id", "left_semi")
     # per token: documents and occurrences that come less those that go
     moves = (spark.read.parquet(f"{at}/terms").select("token", "tf", F.lit(1).alias("sign"))

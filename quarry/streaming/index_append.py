@@ -48,7 +48,7 @@ def append_stream(spark: SparkSession, source: str, root: str, model: enc.Hashed
         at = {part: f"{root}/{part}/batch_id={batch_id}" for part in PARTS}
         new.write.mode("overwrite").parquet(at["texts"])
         new = spark.read.schema("product_id string, text string").parquet(at["texts"])
-        enc.term_counts(new, "product_id").write.mode("overwrite").parquet(at["terms"])
+        enc.term_counts(new, "product_id", unique=True).write.mode("overwrite").parquet(at["terms"])
         vec = enc.encode(new, model, "product_id")
         if centroids is not None:
             vec = ivf.assign(vec, centroids, "product_id", "sparse", model.dim) \
