@@ -38,9 +38,9 @@ NO_LANG = "und"
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 SPACE = hashing.separators(BREAKS + b"\x20\x09")
 BREAK = hashing.separators(BREAKS)
-PART = 1 << 22     # bytes of text worked on at a time
-HELD = 600_000     # different suffixes that a task adds up before it sends them
-BUCKET = 500_000   # suffixes, copies included, that are sorted together on average
+PART = 1 << 21     # bytes of text worked on at a time
+HELD = 300_000     # different suffixes that a task adds up before it sends them
+BUCKET = 200_000   # suffixes, copies included, that are sorted together on average
 
 
 def lang_hash(lang: str) -> int:
