@@ -108,7 +108,9 @@ def search(queries: DataFrame, index: Postings, k: int, *, q_id: str, c_id: str,
                         .withColumn("rest", F.sum("u").over(behind)), "posting-terms")
 
     some = _partial(terms.where(F.col("seen") < first * k), index, q_id, c_id)
-    top = rank_window(some.withColumnRenamed("part", "score"), deep * k, q_id, c_id)
+    # few rows, written: they are broadcast to the vectors, which stay where they are
+    top = materialize(rank_window(some.withColumnRenamed("part", "score"), deep * k, q_id, c_id)
+                      .select(q_id, c_id), "posting-top")
     sure = materialize(rank_window(_full(top, queries, index, q_id, c_id), k, q_id, c_id), "posting-first")
     least = sure.groupBy(q_id).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
     need = F.coalesce("least", F.lit(float("-inf"))) - SLACK

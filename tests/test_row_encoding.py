@@ -8,7 +8,7 @@ import re
 import pytest
 
 from quarry.operators import encode as enc
-from quarry.operators import knn
+from quarry.operators import knn, postings
 from quarry.operators import prepare as P
 from quarry.plans import search as S
 
@@ -91,3 +91,23 @@ def test_each_query_text_is_scored_once(spark, monkeypatch):
     rows = lambda d: sorted(repr((r.query_id, r.product_id, round(r.score, 9))) for r in d.collect())
     assert rows(got) == rows(S.bm25_candidates(q, idx, 10, cands))
     assert rows(top) == rows(S.search_reranked(q, idx, 4, 10, cands))
+
+
+def test_first_candidates_of_postings_are_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(f"p{i}", f"ring w{i % 7} w{i % 5} x{i}") for i in range(300)], "product_id string, text string")
+    idx = S.build_text_index(df, 64)
+    q = spark.createDataFrame([(1, "ring w1"), (2, "w3 x9")], "query_id long, query string")
+    qv, _ = S.encode_queries(q, idx.model)
+    plans, full = [], postings._full
+
+    def seen(*args):
+        out = full(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(postings, "_full", seen)
+    args = dict(q_id="tkey", c_id="product_id", dim=64)
+    got = postings.search(qv, postings.build(idx.vectors, "product_id"), 4, **args).hits
+    assert "Exchange hashpartitioning" not in plans[0] and "Window" not in plans[0]
+    pick = lambda d: sorted((r["rank"], r.product_id, r.score) for r in d.collect())
+    assert pick(got) == pick(knn.flat_knn(qv, idx.vectors, 4, kind="sparse", **args))
