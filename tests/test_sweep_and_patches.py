@@ -90,3 +90,52 @@ def test_words_are_cut_as_in_the_session(spark, monkeypatch):
     for i, words in want.items():
         found = None if got[i] is None else [(c.token, c.tf) for c in got[i]]
         assert found == (sorted(((w, words.count(w)) for w in set(words)), key=lambda p: p[0].encode()) if words else None), i
+
+
+def test_states_are_the_products_of_each_selection(spark):
+    judged = spark.createDataFrame(
+        [(7, "a", "us", "train"), (3, "a", "gb", "test"), (9, "b", "us", "test"), (None, "b", "us", "train"), (4, "c", "us", "dev"),
+         (6, None, "us", "test"), (8, "e", "us", "train")], "example_id long, product_id string, product_locale string, split string")
+    catalog = spark.createDataFrame(
+        [("a", "us", "ring", "x", None, None, "long a"), ("a", "gb", "other", None, None, None, "gb a"), ("b", "us", None, "", None, None, None),
+         ("b", "us", "twice", None, None, None, None)], "product_id string, product_locale string, " + ", ".join(f"{c} string" for c in TEXT_FIELDS))
+    of = {"first": F.col("split") == "train", "second": F.col("split") == "test", "last": F.lit(True)}
+    held = P.judged_states(judged, catalog, of)
+    for name, chosen in of.items():
+        want = P.judged_products(judged.where(chosen), catalog)
+        assert sorted(map(repr, P.state_products(held, name, "last").collect())) == sorted(map(repr, want.collect())), name
+
+
+def _df(spark, rows):
+    return spark.createDataFrame(sorted(rows.items()), PRODUCTS)
+
+
+def _tables(index):
+    vec = {r.product_id: (r.idx, [round(x, 5) for x in r.val]) for r in index.vectors.collect()}
+    return (vec, {r.token: r.df for r in index.model.idf.collect()}, sorted(map(tuple, index.terms.collect())),
+            {r.product_id: r.text for r in index.texts.collect()}, index.model.n_docs, index.total_tokens())
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 18])
+def test_an_index_built_in_its_folder_follows_its_texts(spark, monkeypatch, bound):
+    monkeypatch.setattr(CHANGE, "BROADCAST_IDS", bound)
+    rows = {str(i): f"{w} number {i}" for i, w in enumerate(["red mug", "blue cup", "tea pot", "", "glass"])}
+    path = scratch_path(spark, f"follow-{uuid.uuid4().hex[:8]}")
+    built = S.build_text_index(_df(spark, rows), 64, at=path)
+    STORE.save_index(built, path, {}, "fp")
+    assert not STORE._fs_exists(spark, f"{path}/terms")  # the tables were written once, by the build
+    assert {r.table: r.n_rows for r in STORE.index_stats(spark, path).collect()}["terms"] == built.terms.count()
+    assert _tables(STORE.load_index(spark, path)) == _tables(built)
+    steps = [{k: v + " more" for k, v in rows.items()}, {"1": "blue cup number 1 more", "2": "tea", "8": "mug"}]
+    for n, step in enumerate(steps, 1):
+        assert CHANGE.patch(spark, path, _df(spark, step)) == n
+        assert _tables(CHANGE.load(spark, path)) == _tables(S.build_text_index(_df(spark, step), 64))
+
+
+def test_long_texts_stay_where_all_or_none_changed(spark):
+    rows = {str(i): f"word{i} number" for i in range(30)}
+    path = scratch_path(spark, f"stay-{uuid.uuid4().hex[:8]}")
+    STORE.save_index(S.build_text_index(_df(spark, rows), 64, at=path), path, {}, "fp")
+    CHANGE.patch(spark, path, _df(spark, {k: v + " x" for k, v in rows.items()}))
+    plan = CHANGE.load(spark, path).texts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
